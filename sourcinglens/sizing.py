@@ -1,0 +1,26 @@
+"""Size checks in front of broadcast hints.
+
+A side is broadcast only when its size is bounded: either by construction
+(fixed lookup lists) or by a measured row count below a ceiling.  Above the
+ceiling the plain join is returned and AQE chooses at runtime from real
+shuffle statistics (it can still demote to a broadcast hash join, or split
+skewed partitions).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Row ceilings for measured broadcasts (rows x narrow schema stays < ~64 MB).
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Return ``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows.
+
+    Counting is one extra (cheap, column-pruned) job over a small side; it is
+    only used for dimension-like inputs such as request or code tables.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
