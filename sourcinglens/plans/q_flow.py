@@ -1,3 +1,17 @@
-"""Registered queries (see catalog.py)."""
+"""Queries for the product flow: boolean site search, short list, page
+text, per-request ranking (R2, J5, M4, M5, W3, P1) and code matching."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sourcinglens.functions import text as tx
+
+
+def term_groups_for(terms, lexicon):
+    """(request_id, pos, term) + lexicon -> (request_id, pos, group array)
+    with one group per distinct term at its first position."""
+    first = terms.groupBy("request_id", "term").agg(F.min("pos").alias("pos"))
+    lem = tx.lemma_table(first, lexicon)
+    return first.join(lem, "term", "left").select(
+        "request_id", "pos", "term", F.array_distinct(F.array("term", F.coalesce("lemma", "term"))).alias("group"))
