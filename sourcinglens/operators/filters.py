@@ -17,7 +17,6 @@ from sourcinglens.sizing import maybe_broadcast
 
 # Fixed value: a page showing this block is a captcha wall.
 CAPTCHA_DIV = r"""<div[^>]*\sclass\s*=\s*["']alert alert-info["']"""
-_FALSE = F.lit(False)
 
 
 def is_nonempty(col: Column | str) -> Column:
@@ -63,8 +62,8 @@ def filter_suppliers(suppliers: DataFrame, requests: DataFrame, code_matches: Da
 
     t = terms.select("request_id", F.lower("term").alias("term")).distinct()
     rt = maybe_broadcast(t.join(req_c, "request_id"))  # (request, country or NULL, term)
-    term_hit = (F.coalesce(F.col("_desc").contains(F.col("term")), _FALSE)
-                | F.coalesce(F.exists("_kw", lambda k: k.contains(F.col("term"))), _FALSE))
+    term_hit = (F.coalesce(F.col("_desc").contains(F.col("term")), F.lit(False))
+                | F.coalesce(F.exists("_kw", lambda k: k.contains(F.col("term"))), F.lit(False)))
     by_term_c = sup.join(rt.where(F.col("country").isNotNull()), "country").where(term_hit)
     # requests without countries: every supplier is a candidate (the semantics)
     rt_any = rt.where(F.col("country").isNull()).drop("country").withColumn("_k", F.lit(0))
@@ -139,7 +138,7 @@ def in_site(hits: DataFrame, sites: DataFrame, keys: Sequence[str] = ("request_i
 
 def usable_pages(pages: DataFrame) -> DataFrame:
     """status 200 and no captcha block."""
-    return pages.where((F.col("status") == 200) & ~F.coalesce(F.col("html").rlike(CAPTCHA_DIV), _FALSE))
+    return pages.where((F.col("status") == 200) & ~F.coalesce(F.col("html").rlike(CAPTCHA_DIV), F.lit(False)))
 
 
 # --- set operators ------------------------------------------------------------

@@ -3,6 +3,7 @@ text, per-request ranking (R2, J5, M4, M5, W3, P1) and code matching."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sourcinglens.functions import text as tx
@@ -15,3 +16,279 @@ def term_groups_for(terms, lexicon):
     lem = tx.lemma_table(first, lexicon)
     return first.join(lem, "term", "left").select(
         "request_id", "pos", "term", F.array_distinct(F.array("term", F.coalesce("lemma", "term"))).alias("group"))
+
+
+# ---------------------------------------------------------------------------
+from sourcinglens.functions.records import make_website_array  # noqa: E402
+from sourcinglens.operators import crawl as cr  # noqa: E402
+from sourcinglens.operators import html as hx  # noqa: E402
+from sourcinglens.operators import ingest as ig  # noqa: E402
+from sourcinglens.operators import joins as jn  # noqa: E402
+from sourcinglens.operators import relevance as rv  # noqa: E402
+from sourcinglens.operators import stats as st  # noqa: E402
+from sourcinglens.operators import windows as wn  # noqa: E402
+from sourcinglens.plans import pipelines as pl  # noqa: E402
+from sourcinglens.plans.catalog import register  # noqa: E402
+from sourcinglens.plans.q_html import doc_lexicon, visible_sql  # noqa: E402
+from sourcinglens.plans.q_relational import search_hits  # noqa: E402
+from sourcinglens.sources import derived as dv  # noqa: E402
+from sourcinglens.sources.fixture_sql import token_rows_sql, tokenize_sql, with_ctes  # noqa: E402
+from sourcinglens.sources.tables import read_table  # noqa: E402
+
+_PT = token_rows_sql("page_request", "request_id", "product")
+
+
+@register("R2_boolean_search", with_ctes(["page_request", "stopword"], f""",
+rt AS (SELECT DISTINCT request_id, term FROM {_PT} t),
+pi AS (SELECT DISTINCT page_id, unnest({tokenize_sql(visible_sql('html'))}) AS term FROM pages),
+ng AS (SELECT request_id, count(*) AS n FROM rt GROUP BY request_id),
+m AS (SELECT rt.request_id, pi.page_id, count(DISTINCT rt.term) AS c FROM rt JOIN pi USING (term) GROUP BY ALL)
+SELECT m.request_id, m.page_id FROM m JOIN ng USING (request_id) WHERE m.c = ng.n"""))
+def r2_boolean_search(spark, d):
+    terms = dv.page_requests(spark, d).select("request_id", F.explode(tx.preprocess("product")).alias("term"))
+    groups = terms.distinct().withColumn("group_id", F.col("term"))
+    p = read_table(spark, d, "pages")
+    idx = p.select("page_id", F.explode(F.array_distinct(tx.tokenize(hx.visible_text("html")))).alias("term"))
+    return rv.boolean_search(idx, groups, ["page_id"], ["request_id"])
+
+
+_LT = token_rows_sql("lab", "classification, code", "label")
+_QT = token_rows_sql("requests", "request_id", "product")
+_VOCAB = f"""lab AS (SELECT classification, code, label FROM industry_code WHERE relevant = 1),
+vocab AS (SELECT DISTINCT term FROM {_LT} a UNION SELECT DISTINCT term FROM {_QT} b),
+vr AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS n FROM vocab),
+er AS (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS m FROM embeddings),
+tv AS (SELECT term, CAST(embedding AS DOUBLE[]) AS v FROM vr JOIN er ON er.m = vr.n % (SELECT count(*) FROM embeddings)),
+pairs AS (SELECT a.term AS t1, b.term AS t2, list_dot_product(a.v, b.v)
+   / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS cs FROM tv a JOIN tv b ON a.term <> b.term),
+topk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t1 ORDER BY cs DESC, t2) AS r FROM pairs
+   WHERE cs > 0) x WHERE r <= 100),
+sym AS (SELECT t1, t2, max(cs * cs) AS sim FROM (SELECT t1, t2, cs FROM topk UNION ALL SELECT t2, t1, cs FROM topk) y
+   GROUP BY ALL),
+S AS (SELECT t1, t2, sim FROM sym UNION ALL SELECT term, term, 1.0 FROM tv)"""
+
+_SOFT = f"""{_VOCAB},
+L AS (SELECT classification, code, term, count(*) AS tf FROM {_LT} t GROUP BY ALL),
+nl AS (SELECT classification, count(*) AS nl FROM lab GROUP BY classification),
+ldf AS (SELECT classification, term, count(*) AS ldf FROM L GROUP BY ALL),
+Q AS (SELECT request_id, term, count(*) AS tf FROM {_QT} t GROUP BY ALL),
+qw AS (SELECT * FROM (SELECT q.request_id, n.classification, q.term AS t1,
+   q.tf * log2((n.nl + 1) / (coalesce(d.ldf, 0) + 1)) AS wq FROM Q q CROSS JOIN nl n
+   LEFT JOIN ldf d ON d.classification = n.classification AND d.term = q.term) x WHERE abs(wq) > 1e-12),
+qs AS (SELECT qw.request_id, qw.classification, S.t2, sum(qw.wq * S.sim) AS qs FROM qw JOIN S ON S.t1 = qw.t1 GROUP BY ALL),
+qsq AS (SELECT qs.request_id, qs.classification, sum(qs.qs * qw.wq) AS qsq FROM qs JOIN qw
+   ON qw.request_id = qs.request_id AND qw.classification = qs.classification AND qw.t1 = qs.t2 GROUP BY ALL),
+dw AS (SELECT * FROM (SELECT r.request_id, L.classification, L.code, L.term,
+   L.tf * log2((n.nl + 1) / (d.ldf + CASE WHEN q.term IS NOT NULL THEN 1 ELSE 0 END)) AS w
+   FROM (SELECT DISTINCT request_id FROM requests) r CROSS JOIN L JOIN nl n ON n.classification = L.classification
+   JOIN ldf d ON d.classification = L.classification AND d.term = L.term
+   LEFT JOIN Q q ON q.request_id = r.request_id AND q.term = L.term) x WHERE abs(w) > 1e-12),
+num AS (SELECT qs.request_id, qs.classification, dw.code, sum(qs.qs * dw.w) AS num FROM qs JOIN dw
+   ON dw.request_id = qs.request_id AND dw.classification = qs.classification AND dw.term = qs.t2 GROUP BY ALL),
+ds AS (SELECT dw.request_id, dw.classification, dw.code, S.t2, sum(dw.w * S.sim) AS ds FROM dw JOIN S ON S.t1 = dw.term
+   GROUP BY ALL),
+dsd AS (SELECT ds.request_id, ds.classification, ds.code, sum(ds.ds * dw.w) AS dsd FROM ds JOIN dw
+   ON dw.request_id = ds.request_id AND dw.classification = ds.classification AND dw.code = ds.code AND dw.term = ds.t2
+   GROUP BY ALL),
+sc AS (SELECT num.request_id, num.classification, num.code,
+   CASE WHEN qsq > 0 AND dsd > 0 THEN num / sqrt(qsq * dsd) ELSE 0 END AS score
+   FROM num JOIN qsq USING (request_id, classification) JOIN dsd USING (request_id, classification, code)
+   WHERE num.num <> 0)"""
+
+
+def _code_inputs(spark, d):
+    reqs = dv.requests(spark, d).select("request_id", "product")
+    codes = dv.industry_code(spark, d)
+    return reqs, codes
+
+
+def _term_sim(spark, d):
+    reqs, codes = _code_inputs(spark, d)
+    vocab = pl.code_vocabulary(reqs, codes)
+    return rv.term_similarity(rv.vocabulary_vectors(vocab, read_table(spark, d, "embeddings")))
+
+
+@register("R6_term_similarity", with_ctes(["industry_code", "requests", "stopword"], f""", {_VOCAB}
+SELECT t1, t2, round(sim, 6) AS sim FROM S"""))
+def r6_term_similarity(spark, d):
+    return _term_sim(spark, d).select("t1", "t2", F.round("sim", 6).alias("sim"))
+
+
+@register("R5_soft_cosine", with_ctes(["industry_code", "requests", "stopword"], f""", {_SOFT}
+SELECT request_id, classification, code, round(score, 6) AS score FROM sc"""))
+def r5_soft_cosine(spark, d):
+    reqs, codes = _code_inputs(spark, d)
+    s = pl.code_scores(reqs, codes.where(F.col("relevant") == 1), _term_sim(spark, d))
+    return s.select("request_id", "classification", "code", F.round("score", 6).alias("score"))
+
+
+_P2 = f""", {_SOFT},
+firstc AS (SELECT classification, min(code) AS code FROM lab GROUP BY classification),
+allc AS (SELECT request_id, classification, code, max(score) AS score FROM (
+   SELECT request_id, classification, code, score FROM sc
+   UNION ALL SELECT r.request_id, f.classification, f.code, 0.0 FROM (SELECT DISTINCT request_id FROM requests) r
+   CROSS JOIN firstc f) u GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY request_id, classification ORDER BY score DESC, code) AS rank FROM allc)
+SELECT rk.request_id, rk.classification, rk.code, lab.label, round(rk.score, 6) AS score, CAST(rk.rank AS INTEGER) AS rank
+FROM rk JOIN lab ON lab.classification = rk.classification AND lab.code = rk.code
+WHERE rank <= 10 AND (rank <= 1 OR score > 0.5)"""
+
+
+@register("P2_match_codes", with_ctes(["industry_code", "requests", "stopword"], _P2))
+def p2_match_codes(spark, d):
+    reqs, codes = _code_inputs(spark, d)
+    out = pl.match_codes(reqs, codes, read_table(spark, d, "embeddings"))
+    return out.select("request_id", "classification", "code", "label", F.round("score", 6).alias("score"), "rank")
+
+
+@register("W1_keep_matches", with_ctes(["industry_code", "requests", "stopword"], _P2))
+def w1_keep_matches(spark, d):
+    return p2_match_codes(spark, d)
+
+
+@register("J8_score_all", with_ctes(["industry_code", "requests", "stopword"], f""", {_SOFT}
+SELECT request_id, classification, code, round(score, 6) AS score FROM sc"""))
+def j8_score_all(spark, d):
+    return r5_soft_cosine(spark, d)
+
+
+def _p1(spark, d):
+    pages = dv.site_page(spark, d)
+    return pl.identify_suppliers(dv.page_requests(spark, d), dv.suppliers(spark, d), pages,
+                                 dv.industry_code(spark, d), read_table(spark, d, "embeddings"),
+                                 doc_lexicon(spark, d))
+
+
+@register("P1_identify_suppliers")
+def p1_identify_suppliers(spark, d):
+    return _p1(spark, d)
+
+
+@register("A7_suppliers_without_text")
+def a7_suppliers_without_text(spark, d):
+    r = _p1(spark, d).withColumn("text", F.when(F.col("n_tokens") > 0, F.array(F.lit("x"))).otherwise(F.array()))
+    return st.suppliers_without_text(r)
+
+
+# --- crawl closure ------------------------------------------------------------
+
+def _crawl_inputs(spark, d):
+    sp = dv.site_page(spark, d, with_html=False)
+    w = Window.partitionBy("site").orderBy("page_id")
+    ranked = sp.withColumn("r", F.row_number().over(w))
+    a = ranked.select("site", F.col("page_id").alias("src"), F.col("r").alias("ra"))
+    b = ranked.select("site", F.col("page_id").alias("dst"), F.col("r").alias("rb"))
+    edges = a.join(b, "site").where((F.col("rb") == 2 * F.col("ra")) | (F.col("rb") == 2 * F.col("ra") + 1)) \
+        .select("src", "dst", (F.col("rb") - 2 * F.col("ra")).cast("int").alias("pos"))
+    roots = ranked.where(F.col("r") == 1).select("site", F.col("page_id").alias("page"))
+    ok = dv.page_status(spark, d).select(F.col("page_id").alias("page"), (F.col("status") == 200).alias("success"))
+    return edges, roots, ok
+
+
+_CRAWL_SQL = with_ctes(["site_page", "page_status"], """,
+rk AS (SELECT page_id, site, row_number() OVER (PARTITION BY site ORDER BY page_id) AS r FROM site_page),
+st AS (SELECT rk.*, p.status = 200 AS success FROM rk JOIN page_status p USING (page_id)),
+cum AS (SELECT *, coalesce(sum(CAST(success AS INTEGER)) OVER (PARTITION BY site ORDER BY r
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM st)
+SELECT site, page_id AS page, CAST(floor(log2(r)) AS INTEGER) AS depth, success FROM cum WHERE before < 5""")
+
+
+@register("R8_crawl_closure", _CRAWL_SQL)
+def r8_crawl_closure(spark, d):
+    edges, roots, ok = _crawl_inputs(spark, d)
+    c = cr.crawl_closure(edges, roots, ok, budget=5)
+    return c.select("site", "page", "depth", "success")
+
+
+@register("R9_site_emails", with_ctes(["site_page", "page_status"], r""",
+rk AS (SELECT page_id, site, html, row_number() OVER (PARTITION BY site ORDER BY page_id) AS r FROM site_page),
+st AS (SELECT rk.*, p.status = 200 AS success FROM rk JOIN page_status p USING (page_id)),
+cum AS (SELECT *, coalesce(sum(CAST(success AS INTEGER)) OVER (PARTITION BY site ORDER BY r
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM st)
+SELECT DISTINCT site, unnest(regexp_extract_all(html, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+')) AS email
+FROM cum WHERE before < 5 AND success"""))
+def r9_site_emails(spark, d):
+    edges, roots, ok = _crawl_inputs(spark, d)
+    c = cr.crawl_closure(edges, roots, ok, budget=5)
+    return cr.site_emails(read_table(spark, d, "pages"), c).select("site", "email")
+
+
+# --- ingest -------------------------------------------------------------------
+
+@register("M1_insert_if_absent", with_ctes(["supplier_base"], """
+SELECT id AS _id, name FROM supplier_base WHERE website <> '' AND id NOT IN
+ (SELECT id FROM supplier_base WHERE CAST(substr(id, 5) AS BIGINT) % 2 = 0)"""))
+def m1_insert_if_absent(spark, d):
+    s = dv.supplier_base(spark, d).select(F.col("id").alias("_id"), "name", "website")
+    existing = s.where(F.substring("_id", 5, 20).cast("bigint") % 2 == 0)
+    batch = s.where(F.col("website") != "")
+    return ig.insert_if_absent(batch.unionByName(batch), existing, order=["name"]).select("_id", "name")
+
+
+@register("M2_update_queue", with_ctes(["crawl_queue", "page_status"], """
+SELECT q._id, CASE WHEN p.status IS NULL THEN q.discovered WHEN p.status = 200 THEN CAST(1700000000 AS DOUBLE)
+ ELSE CAST(-2 AS DOUBLE) END AS discovered
+FROM crawl_queue q LEFT JOIN (SELECT * FROM page_status WHERE page_id % 2 = 0) p ON p.url = q._id"""))
+def m2_update_queue(spark, d):
+    q = dv.crawl_queue(spark, d)
+    o = dv.page_status(spark, d).where(F.col("page_id") % 2 == 0).select(
+        F.col("url").alias("_id"), (F.col("status") == 200).alias("ok"))
+    return ig.update_queue(q, o, F.lit(1_700_000_000)).select("_id", "discovered")
+
+
+@register("U3_email_union", r"""
+SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site,
+ unnest(regexp_extract_all(html, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+')) AS email FROM pages""")
+def u3_email_union(spark, d):
+    sp = dv.site_page(spark, d)
+    em = hx.emails_in_pages(sp, ["site", "page_id"], text="html")
+    from sourcinglens.operators.filters import email_union
+    return email_union(em, ["site"])
+
+
+@register("P5_resolve_websites")
+def p5_resolve_websites(spark, d):
+    names = dv.supplier_base(spark, d).select(F.col("id"), "name")
+    s = read_table(spark, d, "supplier").select("s_suppkey")
+    names = names.join(s, names.id == F.concat(F.lit("sup-"), F.col("s_suppkey").cast("string"))).select(
+        F.concat(F.lit("q"), (F.col("s_suppkey") % 10).cast("string")).alias("request_id"), "name")
+    names = wn.first_by(names, ["request_id"], ["name"])
+    return pl.resolve_websites(names, search_hits(spark, d))
+
+
+@register("J6_attach_candidates", with_ctes(["supplier_base"], """
+SELECT id AS _id, CAST((CASE WHEN website <> '' AND origin <> '' THEN 1 ELSE 0 END) + cnt AS INTEGER) AS n_candidates
+FROM supplier_base b JOIN (SELECT s_suppkey, CAST(s_suppkey % 3 AS INTEGER) AS cnt FROM supplier) s
+ ON b.id = concat('sup-', CAST(s.s_suppkey AS VARCHAR))"""))
+def j6_attach_candidates(spark, d):
+    sup = dv.suppliers(spark, d)
+    s = read_table(spark, d, "supplier").select("s_suppkey")
+    cands = s.select(F.concat(F.lit("sup-"), F.col("s_suppkey").cast("string")).alias("_id"),
+                     F.explode(F.when(F.col("s_suppkey") % 3 >= 1,
+                                      F.sequence(F.lit(1), (F.col("s_suppkey") % 3).cast("int")))
+                               .otherwise(F.array().cast("array<int>"))).alias("i")).select("_id", F.concat(F.lit("https://cand"), F.col("i").cast("string"), F.lit(".example"))
+                                .alias("url"), F.lit("Yahoo").alias("origin"))
+    out = jn.attach_candidates(sup, cands)
+    return out.select("_id", F.size("companydataEnriched").alias("n_candidates"))
+
+
+@register("J7_expand_terms", with_ctes(["requests", "request_country", "country_languages", "stopword"], f""",
+rt AS (SELECT DISTINCT request_id, term FROM {_QT} t),
+lang AS (SELECT DISTINCT rc.request_id, trim(unnest(string_split(cl.languageCode, ','))) AS lang
+  FROM request_country rc JOIN country_languages cl ON cl.countryName = rc.country),
+tr AS (SELECT rt.request_id, rt.term AS group_id, upper(rt.term) || '-' || lang.lang AS term
+  FROM rt JOIN lang ON lang.request_id = rt.request_id WHERE lang.lang <> 'en')
+SELECT DISTINCT request_id, group_id, term FROM (SELECT request_id, term AS group_id, term FROM rt
+  UNION ALL SELECT * FROM tr) u"""))
+def j7_expand_terms(spark, d):
+    reqs = dv.requests(spark, d)
+    groups = reqs.select("request_id", F.explode(tx.preprocess("product")).alias("term")).distinct() \
+        .withColumn("group_id", F.col("term"))
+    longlist = reqs.select("request_id", F.explode("countries").alias("country"))
+    langs = jn.request_languages(longlist, dv.country_languages(spark, d))
+    vocab = groups.select("term").distinct()
+    # translation table stand-in: every term in every non-English language
+    translations = vocab.withColumn("_k", F.lit(0)).join(F.broadcast(langs.select("lang").distinct().withColumn("_k", F.lit(0))),
+                                              "_k").where(F.col("lang") != "en").select(
+            "term", "lang", F.concat(F.upper("term"), F.lit("-"), F.col("lang")).alias("text"))
+    return jn.expand_terms(groups, translations, langs)
