@@ -27,7 +27,7 @@ from sourcinglens.operators import joins as jn  # noqa: E402
 from sourcinglens.operators import relevance as rv  # noqa: E402
 from sourcinglens.operators import stats as st  # noqa: E402
 from sourcinglens.operators import windows as wn  # noqa: E402
-from sourcinglens.plans import pipelines as pl  # noqa: E402
+from sourcinglens.plans import flows as pl  # noqa: E402
 from sourcinglens.plans.catalog import register  # noqa: E402
 from sourcinglens.plans.q_html import doc_lexicon, visible_sql  # noqa: E402
 from sourcinglens.plans.q_relational import search_hits  # noqa: E402
