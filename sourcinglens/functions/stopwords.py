@@ -1,46 +1,23 @@
-"""Stopword lists.
+"""Stopword list.
 
 Matching terms are filtered against the stopwords of *all* languages at once
-(an English word that is a foreign stopword goes too).  The lists are Spark
-MLlib's own defaults (``StopWordsRemover.loadDefaultStopWords``), read from
-the MLlib jar that ships with pyspark so that no JVM is needed to build SQL
-text for the oracle.  Users may pass any other list or table instead.
+(an English word that is a foreign stopword goes too).  The default is the
+union of the 14 public Apache Spark MLlib lists, kept as a plain text resource
+of this package (one word a line), so neither a jar nor a JVM is needed to
+read it.  Users may pass any other list instead.
 """
 
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
-
-import pyspark
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
-# The 14 default languages of StopWordsRemover.
-LANGUAGES = (
-    "danish", "dutch", "english", "finnish", "french", "german", "hungarian",
-    "italian", "norwegian", "portuguese", "russian", "spanish", "swedish", "turkish",
-)
+from importlib import resources
 
 
 @functools.lru_cache(maxsize=None)
-def default_stopwords(languages: tuple[str, ...] = LANGUAGES) -> tuple[str, ...]:
-    """Sorted union of the default stopword lists of ``languages``."""
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    words: set[str] = set()
-    with zipfile.ZipFile(jars[0]) as z:
-        for lang in languages:
-            text = z.read(f"org/apache/spark/ml/feature/stopwords/{lang}.txt").decode("utf-8")
-            words.update(w for w in text.split() if w)
-    return tuple(sorted(words))
-
-
-def stopwords_df(spark: SparkSession, words: tuple[str, ...] | None = None) -> DataFrame:
-    """Stopwords as a one-column table ``word`` (bounded size: ~2k rows)."""
-    words = default_stopwords() if words is None else words
-    return spark.createDataFrame([(w,) for w in words], T.StructType([T.StructField("word", T.StringType())]))
+def default_stopwords() -> tuple[str, ...]:
+    """Sorted union of the default lists."""
+    text = resources.files("sourcinglens.resources").joinpath("stopwords.txt").read_text(encoding="utf-8")
+    return tuple(sorted(w for w in text.split("\n") if w))
 
 
 def sql_list_literal(words: tuple[str, ...] | None = None) -> str:
