@@ -8,16 +8,11 @@ storage for lineage cuts), taken from the running session.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Broadcast ceiling for sides whose size is not bounded by construction.
-# Sides are measured (row count x row width estimate) before a broadcast hint.
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "sourcinglens") -> SparkSession:
     """Local session for tests and the bench.  A cluster passes its own session."""
     builder = (
@@ -42,13 +37,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting names shared storage and is used as is.  Only
-    when it is unset (local tests) a scratch folder is created for it.
+    On a cluster that setting must name shared storage; without it this raises,
+    as a folder on the driver's own disk is of no use to executors.  Only a
+    local master, where driver and executors are one process, gets a folder.
     """
     sc = spark.sparkContext
     conf_dir = (sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
                 or sc.getConf().get("spark.checkpoint.dir", None))
     if not conf_dir:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="sourcinglens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if sc.getCheckpointDir() is None:
@@ -56,12 +54,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for a written table."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable lineage cut: a checkpoint on shared storage (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
