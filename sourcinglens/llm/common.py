@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcinglens.session import cut_lineage
+from sourcinglens.session import cut_lineage, ensure_checkpoint_dir
 
 #: A word, everywhere in this package: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,3 +44,18 @@ def ascii_lower(text: Column) -> Column:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder."""
     return cut_lineage(df)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, salts: int = 64) -> DataFrame:
+    """``rows`` joined with ``table`` (one row per ``key``) without ever sending
+    all rows of one key to one task: the table's row is first handed to the
+    salts in use (few), then meets the rows of each salt.  ``rows`` is read
+    twice, so give it a cut or a cheap one."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    in_use = salted.groupBy(key, "_salt").agg(F.lit(1).alias("_one")).drop("_one").join(table, key)
+    return salted.join(in_use, [key, "_salt"]).drop("_salt")
+
+
+def scratch_folder(df: DataFrame, name: str) -> str:
+    """A new folder below the shared checkpoint folder, for a written table."""
+    return f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"

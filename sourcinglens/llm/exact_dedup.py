@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourcinglens.llm.common import ascii_lower, cut, pick
+from sourcinglens.llm.common import ascii_lower, cut, pick, spread_join
 
 
 def _sha256(text: Column) -> Column:
@@ -54,9 +54,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     summary = cut(winners.groupBy("digest").agg(
         F.count("*").alias("contents"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")))
 
-    by_salt = (keys.groupBy("digest", "salt").count().drop("count")
-               .join(summary.where("contents = 1").drop("contents"), "digest"))
-    matched = keys.join(by_salt, ["digest", "salt"])
+    matched = spread_join(keys, summary.where("contents = 1").drop("contents"), "digest", "doc_id", salts)
     clashing = summary.where("contents > 1").select("digest")
     if not clashing.isEmpty():
         texts = rows().join(clashing, "digest", "left_semi")

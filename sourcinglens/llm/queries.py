@@ -8,8 +8,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from sourcinglens.llm.bpe import encode_decode
+from sourcinglens.llm.common import scratch_folder
 from sourcinglens.llm.exact_dedup import exact_dedup
 from sourcinglens.llm.mixing import mix
+from sourcinglens.llm.quality_cnn import classify
+from sourcinglens.llm.token_counts import token_counts
 from sourcinglens.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +34,11 @@ def register(name: str, sql: str | None = None):
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@register("op1_quality_classifier")
+def op1_quality_classifier(spark, sf_dir):
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @register("op2_exact_dedup", f"""
 WITH d AS (SELECT doc_id, {LOWER} AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
@@ -40,3 +51,16 @@ def op2_exact_dedup(spark, sf_dir):
 @register("op5_mixing")
 def op5_mixing(spark, sf_dir):
     return mix(read_table(spark, sf_dir, "documents"))
+
+
+@register("op7_token_counts")
+def op7_token_counts(spark, sf_dir):
+    """The cache starts empty on each call, so that a run's work is its own."""
+    docs = read_table(spark, sf_dir, "documents")
+    return token_counts(docs, scratch_folder(docs, "token-cache"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op8_byte_bpe")
+def op8_byte_bpe(spark, sf_dir):
+    return encode_decode(read_table(spark, sf_dir, "documents"),
+                         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
