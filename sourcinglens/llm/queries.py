@@ -15,6 +15,7 @@ from sourcinglens.llm.common import scratch_folder
 from sourcinglens.llm.exact_dedup import exact_dedup
 from sourcinglens.llm.mixing import mix
 from sourcinglens.llm.quality_cnn import classify
+from sourcinglens.llm.quality_rules import ORACLE as RULES_ORACLE, quality_rules
 from sourcinglens.llm.token_counts import token_counts
 from sourcinglens.sources.tables import read_table
 
@@ -48,6 +49,11 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+@register("op3_quality_rules", RULES_ORACLE)
+def op3_quality_rules(spark, sf_dir):
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 @register("op5_mixing")
 def op5_mixing(spark, sf_dir):
     return mix(read_table(spark, sf_dir, "documents"))
