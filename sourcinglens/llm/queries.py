@@ -14,6 +14,7 @@ from sourcinglens.llm.bpe import encode_decode
 from sourcinglens.llm.common import scratch_folder
 from sourcinglens.llm.exact_dedup import exact_dedup
 from sourcinglens.llm.mixing import mix
+from sourcinglens.llm.ngram_join import jaccard_groups
 from sourcinglens.llm.quality_cnn import classify
 from sourcinglens.llm.quality_rules import ORACLE as RULES_ORACLE, quality_rules
 from sourcinglens.llm.token_counts import token_counts
@@ -70,3 +71,8 @@ def op7_token_counts(spark, sf_dir):
 def op8_byte_bpe(spark, sf_dir):
     return encode_decode(read_table(spark, sf_dir, "documents"),
                          public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register("op10_ngram_jaccard")
+def op10_ngram_jaccard(spark, sf_dir):
+    return jaccard_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
