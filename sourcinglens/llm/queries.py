@@ -17,6 +17,7 @@ from sourcinglens.llm.mixing import mix
 from sourcinglens.llm.ngram_join import jaccard_groups
 from sourcinglens.llm.quality_cnn import classify
 from sourcinglens.llm.quality_rules import ORACLE as RULES_ORACLE, quality_rules
+from sourcinglens.llm.substring_dedup import substring_dedup
 from sourcinglens.llm.token_counts import token_counts
 from sourcinglens.sources.tables import read_table
 
@@ -73,6 +74,11 @@ def op8_byte_bpe(spark, sf_dir):
                          public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@register("op9_substring_dedup")
+def op9_substring_dedup(spark, sf_dir):
+    return substring_dedup(read_table(spark, sf_dir, "documents"))
+
+
 @register("op10_ngram_jaccard")
 def op10_ngram_jaccard(spark, sf_dir):
     return jaccard_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
