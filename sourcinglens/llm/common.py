@@ -29,11 +29,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 def keep_columns(df: DataFrame, key: str, mask: DataFrame) -> DataFrame:
     """Rows of ``df`` (all columns, as named) whose ``key`` is in ``mask.key``;
-    null keys are matched too.  ``mask`` has one row per key at most."""
+    null keys are matched too.  Only the mask is hashed: rows of ``df`` stream."""
     names = df.columns
     flat = df.toDF(*[f"_c{i}" for i in range(len(names))])
     k = F.col(f"_c{names.index(key)}")
-    return flat.join(mask.select(F.col("key").alias("_key")), k.eqNullSafe(F.col("_key")), "left_semi").toDF(*names)
+    mask = mask.select(F.col("key").alias("_key")).hint("shuffle_hash")
+    return flat.join(mask, k.eqNullSafe(F.col("_key")), "left_semi").toDF(*names)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -46,14 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, salts: int = 64) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str | list[str], by: str, salts: int = 64) -> DataFrame:
     """``rows`` joined with ``table`` (one row per ``key``) without ever sending
     all rows of one key to one task: the table's row is first handed to the
     salts in use (few), then meets the rows of each salt.  ``rows`` is read
     twice, so give it a cut or a cheap one."""
+    keys = [key] if isinstance(key, str) else key
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    in_use = salted.groupBy(key, "_salt").agg(F.lit(1).alias("_one")).drop("_one").join(table, key)
-    return salted.join(in_use, [key, "_salt"]).drop("_salt")
+    in_use = salted.groupBy(*keys, "_salt").agg(F.lit(1).alias("_one")).drop("_one").join(table, keys)
+    return salted.join(in_use, [*keys, "_salt"]).drop("_salt")
 
 
 def scratch_folder(df: DataFrame, name: str) -> str:

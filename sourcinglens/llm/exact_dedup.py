@@ -32,7 +32,8 @@ def _sha256(text: Column) -> Column:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64,
                 digest: Callable[[Column], Column] = _sha256) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, twins
+    (rows that repeat both id and text, itself included).
 
     Of equal texts the row with the largest id stays.  Defined cases: a null
     or empty text is the empty text; null ids never win over an id; rows that
@@ -62,11 +63,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         cols = matched.columns
         matched = matched.unionByName(exact.withColumn("text_sha256", F.sha2(F.col("norm"), 256)).select(*cols))
 
-    twin = F.row_number().over(Window.partitionBy("digest", "salt", "doc_id").orderBy(F.lit(0)))
+    same = Window.partitionBy("digest", "salt", "doc_id")
+    matched = matched.withColumns({"twin": F.row_number().over(same.orderBy(F.lit(0))), "twins": F.count("*").over(same)})
     out_sha = F.lower(F.hex("digest")) if digest is _sha256 else F.col("text_sha256")
-    return matched.withColumn("twin", twin).select(
+    return matched.select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("twin") == 1)).alias("kept"),
-        out_sha.alias("text_sha256"))
-
-
+        out_sha.alias("text_sha256"), "twins")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``docs``, the rows that stay: one of each group of equal
+    texts.  Rows that repeat both id and text are told apart by a number, only
+    where there are any."""
+    kept = cut(exact_dedup(docs, id_col, text_col).where("kept").select("doc_id", "text_sha256", "twins"))
+    names = docs.columns
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    doc_id, text = (F.col(f"_c{names.index(c)}") for c in (id_col, text_col))
+    flat = flat.withColumn("_sha", F.sha2(ascii_lower(text), 256))
+    key = doc_id.eqNullSafe(F.col("doc_id")) & (F.col("_sha") == F.col("text_sha256"))
+    out = flat.join(kept.hint("shuffle_hash"), key, "left_semi")
+    if not kept.where("twins > 1").isEmpty():
+        twin = F.row_number().over(Window.partitionBy(doc_id, "_sha").orderBy(F.lit(0)))
+        out = out.withColumn("_twin", twin).where("_twin = 1")
+    return out.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])

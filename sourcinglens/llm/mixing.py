@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourcinglens.llm.common import WORD, cut, pick
+from sourcinglens.llm.common import WORD, cut, pick, spread_join
 
 SOURCE = ["source_null", "source_key"]
 
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                   .withColumnRenamed("quota", "source_quota").drop("_blocks"))
 
     n_shards = F.greatest(F.lit(1), F.floor(F.sqrt("n_docs"))).cast("long")
-    dealt = sizes.join(sources.select(*SOURCE, n_shards.alias("n_shards")), SOURCE).withColumn(
+    dealt = spread_join(sizes, sources.select(*SOURCE, n_shards.alias("n_shards")), SOURCE, "doc_id").withColumn(
         "shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_shards"))).drop("n_shards")
     shards = dealt.groupBy(*SOURCE, "shard").agg(F.sum("size").alias("shard_size"))
     shards = apportion(shards.join(sources, SOURCE), SOURCE, "shard_size", "source_quota", ["shard"])
@@ -123,3 +123,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
              + overlap(F.col("start") - F.col("shard_size"), run_end - F.col("shard_size")))
     return placed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target",
                          taken.cast("long").alias("taken"))
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The mix as rows: the columns of ``docs``, each document 0, 1 or
+    ``max_repeat`` times.  The run of a shard takes nearly every document in
+    whole passes; the one or two at its ends are rounded.  Rows that share an
+    id are taken alike, as often as the most taken of them."""
+    taken = mix(docs, id_col=id_col, **options)
+    times = taken.where("taken > 0").groupBy("doc_id").agg(
+        F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_times")).where("_times > 0")
+    names = docs.columns
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    joined = flat.join(times.hint("shuffle_hash"), F.col(f"_c{names.index(id_col)}").eqNullSafe(F.col("doc_id")))
+    repeated = joined.withColumn("_time", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
+    return repeated.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])

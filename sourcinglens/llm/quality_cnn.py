@@ -16,7 +16,7 @@ that memory does not grow with the longest text.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -143,31 +143,42 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return [(r.text, int(r.label)) for r in sorted(rows, key=lambda r: (r.key, r.text))[:4 * per_class]]
 
 
+def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+           label_col: str = "quality", per_class: int = 1500):
+    """A function from a text column to its score column, with a network fit on
+    the labelled rows of ``docs``.  With labels of one class only every score
+    is that class, with none it is 0.5."""
+    rows = training_rows(docs, labels, id_col, text_col, label_col, per_class)
+    classes = {y for _, y in rows}
+    if len(classes) < 2:
+        return lambda text: F.lit(float(max(classes)) if classes else 0.5)
+    net = fit(rows)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([net.score(np.frombuffer(t.as_buffer(), np.uint8)) for t in texts.cast(pa.large_binary())], pa.float64())
+
+    return lambda text: score(F.coalesce(text, F.lit("")))
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "quality", per_class: int = 1500) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
     Defined cases: a null text is empty, and is scored as the model scores no
     bytes; rows that repeat an id are scored each for itself; a null id is not
-    held out; an empty table gives an empty result; with labels of one class
-    only (or none) every score is that class (or 0.5).
+    held out; an empty table gives an empty result.
     """
-    rows = training_rows(docs, labels, id_col, text_col, label_col, per_class)
-    classes = {y for _, y in rows}
-    base = pick(docs, doc_id=id_col, text=text_col).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    if len(classes) < 2:
-        scored = base.withColumn("score", F.lit(float(max(classes)) if classes else 0.5))
-    else:
-        net = fit(rows)
-        schema = base.drop("text").withColumn("score", F.lit(0.0)).schema
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                scores = [net.score(np.frombuffer(t.as_buffer(), np.uint8)) for t in b.column("text").cast(pa.large_binary())]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64())],
-                                                 names=["doc_id", "held_out", "score"])
-
-        scored = base.mapInArrow(run, schema)
-    return scored.select("doc_id", "held_out", F.col("score").cast("double").alias("score"),
-                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    score = scorer(docs, labels, id_col, text_col, label_col, per_class)
+    base = pick(docs, doc_id=id_col, text=text_col).withColumn("score", score(F.col("text")))
+    return base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The columns of ``docs``, the rows predicted to be label 1."""
+    score = scorer(docs, labels, id_col, text_col, **options)
+    names = docs.columns
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    kept = flat.withColumn("_score", score(F.col(f"_c{names.index(text_col)}"))).where("_score >= 0.5")
+    return kept.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])

@@ -48,7 +48,7 @@ g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP B
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
 FROM d JOIN g ON d.norm = g.norm""")
 def op2_exact_dedup(spark, sf_dir):
-    return exact_dedup(read_table(spark, sf_dir, "documents"))
+    return exact_dedup(read_table(spark, sf_dir, "documents")).drop("twins")
 
 
 @register("op3_quality_rules", RULES_ORACLE)
