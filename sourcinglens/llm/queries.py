@@ -13,6 +13,7 @@ import public_tokenizers
 from sourcinglens.llm.bpe import encode_decode
 from sourcinglens.llm.common import scratch_folder
 from sourcinglens.llm.exact_dedup import exact_dedup
+from sourcinglens.llm.html_extract import main_text
 from sourcinglens.llm.mixing import mix
 from sourcinglens.llm.ngram_join import jaccard_groups
 from sourcinglens.llm.quality_cnn import classify
@@ -61,6 +62,11 @@ def op5_mixing(spark, sf_dir):
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+@register("op6_html_extract")
+def op6_html_extract(spark, sf_dir):
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 @register("op7_token_counts")
 def op7_token_counts(spark, sf_dir):
     """The cache starts empty on each call, so that a run's work is its own."""
