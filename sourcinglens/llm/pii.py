@@ -96,7 +96,7 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     held the whole expression would work it out again for every letter."""
     kind, entity, attempt = F.col("kind"), F.col("entity"), F.col("attempt")
     d = entities.withColumn("_numbers", _stream(key, attempt, kind, entity, F.length(entity) + 8))
-    d = d.withColumn("_drawn", _drawn(entity, F.col("_numbers"), entity.rlike("^[0-9a-f]+$")))
+    d = d.withColumn("_drawn", _drawn(entity, F.col("_numbers"), (kind == "secret") & entity.rlike("^[0-9a-f]+$")))
     numbers, drawn = F.col("_numbers"), F.col("_drawn")
     local, domain = F.substring_index(drawn, "@", 1), F.substring_index(drawn, "@", -1)
     last = F.substring_index(entity, ".", -1)                                # the top-level domain stays
@@ -145,7 +145,7 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 64) -> DataFrame:
     fixed = None
     open_rows = cut(entities.withColumn("attempt", F.lit(0)))
     for _ in range(rounds):
-        drawn = draw(open_rows, key)
+        drawn = cut(draw(open_rows, key))        # else join keys would be worked out anew below every filter
         taken = entities.select("kind", F.col("entity").alias("name")).withColumn("real", F.lit(True))
         drawn = drawn.join(taken, ["kind", "name"], "left")
         if fixed is not None:
@@ -192,9 +192,9 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
         F.when(i == F.size(words) - 1, "family").otherwise(F.concat(F.lit("given "), F.col("gender"))).alias("kind"), w.alias("entity")))
     one = F.array(F.struct(F.col("kind").alias("kind"), normal_form(F.col("kind"), F.col("found")).alias("entity")))
     parts = spots.select("digest", "pos", "found", F.posexplode(F.when(F.col("kind") == "name", as_name).otherwise(one)).alias("word", "e"))
-    parts = parts.select("digest", "pos", "found", "word", "e.kind", "e.entity").withColumn(
+    parts = cut(parts.select("digest", "pos", "found", "word", "e.kind", "e.entity")).withColumn(
         "at", F.struct("kind", "entity"))
-    names = surrogates(parts.select("kind", "entity").distinct(), key)
+    names = surrogates(cut(parts.select("kind", "entity").distinct()), key)
     named = spread_join(parts.drop("kind", "entity"), names.select(F.struct("kind", "entity").alias("at"), "name"), "at", "digest")
     written = named.select("digest", "pos", "word", F.col("at.kind").alias("kind"),
                            _in_shape(F.col("at.kind"), F.col("found"), F.col("name")).alias("new"))
