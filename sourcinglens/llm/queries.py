@@ -16,6 +16,7 @@ from sourcinglens.llm.exact_dedup import exact_dedup
 from sourcinglens.llm.html_extract import main_text
 from sourcinglens.llm.mixing import mix
 from sourcinglens.llm.ngram_join import jaccard_groups
+from sourcinglens.llm.pii import replace_private
 from sourcinglens.llm.quality_cnn import classify
 from sourcinglens.llm.quality_rules import ORACLE as RULES_ORACLE, quality_rules
 from sourcinglens.llm.substring_dedup import substring_dedup
@@ -57,6 +58,12 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+@register("op4_pii_surrogates")
+def op4_pii_surrogates(spark, sf_dir):
+    """The key is a parameter; a production run passes a secret of its own."""
+    return replace_private(read_table(spark, sf_dir, "documents"), key="documents-demo-key")
+
+
 @register("op5_mixing")
 def op5_mixing(spark, sf_dir):
     return mix(read_table(spark, sf_dir, "documents"))

@@ -98,6 +98,7 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_file: str, id_col:
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
     counted = chosen.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
+    counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))       # rows may repeat an id and its text
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
 
     counts = (read_cache(spark, cache_path).where(F.col("tokenizer") == version)
