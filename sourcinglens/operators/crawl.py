@@ -1,14 +1,16 @@
 """Crawl closure over a link graph (R8) and site emails.
 
-Breadth-first, level by level, all sites at once: frontier ⋈ edges, minus
-visited (anti-join), ordered by (depth, parent order, link position).  The
-budget counts *successful* pages per site; the walk stops at the level where
-a site reaches it.  Depth is bounded by the budget, and lineage is cut after
-every level with ``checkpoint()`` on the shared checkpoint folder.
+Breadth-first, level by level, all sites at once: frontier joined with edges,
+minus visited (anti-join), ordered by (depth, parent order, link position).
+The budget counts *successful* pages per site; a site whose finished levels
+hold its budget is not walked further, and the walk ends when no site has a
+frontier.  Each new level is cut on the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,39 +22,42 @@ from sourcinglens.session import cut_lineage
 CRAWL_BUDGET = 31
 
 
-def crawl_closure(edges: DataFrame, roots: DataFrame, ok: DataFrame, budget: int = CRAWL_BUDGET,
-                  max_levels: int = 64) -> DataFrame:
+def crawl_closure(edges: DataFrame, roots: DataFrame, ok: DataFrame, budget: int = CRAWL_BUDGET) -> DataFrame:
     """Pages visited per site: (site, page, depth, order, success).
 
     ``edges``: (src, dst, pos) links inside a site; ``roots``: (site, page);
     ``ok``: (page, success boolean).  Visiting stops once ``budget``
     successes are reached (the page that reaches it is the last visited).
     """
-    okb = ok.select("page", "success")
-    level = roots.select("site", "page", F.lit(0).alias("depth"), F.array(F.lit(0)).alias("order"))
-    visited = level
-    for _ in range(max_levels):
-        nxt = (level.select("site", F.col("page").alias("src"), F.col("order").alias("porder"))
+    known = ok.select("page", "success")
+
+    def with_success(level: DataFrame) -> DataFrame:
+        return cut_lineage(level.join(known, "page", "left").withColumn("success", F.coalesce("success", F.lit(False))))
+
+    level = with_success(roots.select("site", "page", F.lit(0).alias("depth"), F.array(F.lit(0)).alias("order")))
+    levels = [level]
+    while not level.isEmpty():
+        visited = functools.reduce(DataFrame.unionByName, levels)
+        met = visited.where("success").groupBy("site").count().where(F.col("count") >= budget)
+        nxt = (level.join(met, "site", "left_anti")
+               .select("site", F.col("page").alias("src"), F.col("order").alias("porder"))
                .join(edges.select("src", "dst", "pos"), "src")
                .select("site", F.col("dst").alias("page"), F.concat("porder", F.array("pos")).alias("order")))
         # first discovery of a page wins (lowest order)
         nxt = nxt.groupBy("site", "page").agg(F.min("order").alias("order"))
         nxt = nxt.join(visited.select("site", "page"), ["site", "page"], "left_anti")
-        nxt = nxt.select("site", "page", (F.size("order") - 1).alias("depth"), "order")
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
-            break
-        visited = cut_lineage(visited.unionByName(nxt))
-        level = nxt
-    ordered = visited.join(okb, "page", "left").withColumn("success", F.coalesce("success", F.lit(False)))
+        level = with_success(nxt.select("site", "page", (F.size("order") - 1).alias("depth"), "order"))
+        levels.append(level)
     w = Window.partitionBy("site").orderBy("depth", "order").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("success").cast("int")).over(w), F.lit(0))
-    return ordered.withColumn("_before", before).where(F.col("_before") < budget).drop("_before")
+    return functools.reduce(DataFrame.unionByName, levels).withColumn("_before", before).where(
+        F.col("_before") < budget).drop("_before")
 
 
 def site_emails(pages: DataFrame, closure: DataFrame, source: str = "site") -> DataFrame:
-    """Distinct emails over each site's closure, as email structs."""
+    """Distinct emails over each site's closure, as email structs.  Emails
+    are taken from the html before the join, so html is never shuffled."""
     visited = closure.where("success").select("site", "page")
-    text = pages.select(F.col("page_id").alias("page"), "html").join(visited, "page")
-    em = emails_in_pages(text, ["site"], text="html")
+    found = emails_in_pages(pages.select(F.col("page_id").alias("page"), "html"), ["page"], text="html")
+    em = found.join(visited, "page").select("site", "email").distinct()
     return em.select("site", "email", make_email(F.col("email"), F.lit("Website"), F.col(source)).alias("entity"))

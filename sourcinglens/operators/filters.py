@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcinglens.functions import urls
-from sourcinglens.sizing import maybe_broadcast
 
 # Fixed value: a page showing this block is a captcha wall.
 CAPTCHA_DIV = r"""<div[^>]*\sclass\s*=\s*["']alert alert-info["']"""
@@ -52,16 +51,16 @@ def filter_suppliers(suppliers: DataFrame, requests: DataFrame, code_matches: Da
                            "website", "classifications")
     sup = sup.where(~F.col("website").eqNullSafe(""))
     req_c = requests.select("request_id", F.explode_outer("countries").alias("country"))
-    req_country = maybe_broadcast(req_c.where(F.col("country").isNotNull()))
+    req_country = req_c.where(F.col("country").isNotNull())
     no_country = requests.where(F.size("countries") == 0).select("request_id")
 
     codes = code_matches.select("request_id", "classification", "code")
     sup_codes = sup.select("_id", "country", F.explode("classifications").alias("classification", "codes")) \
         .select("_id", "country", "classification", F.explode("codes").alias("code"))
-    by_code = sup_codes.join(maybe_broadcast(codes), ["classification", "code"]).select("request_id", "_id", "country")
+    by_code = sup_codes.join(codes, ["classification", "code"]).select("request_id", "_id", "country")
 
     t = terms.select("request_id", F.lower("term").alias("term")).distinct()
-    rt = maybe_broadcast(t.join(req_c, "request_id"))  # (request, country or NULL, term)
+    rt = t.join(req_c, "request_id")  # (request, country or NULL, term)
     term_hit = (F.coalesce(F.col("_desc").contains(F.col("term")), F.lit(False))
                 | F.coalesce(F.exists("_kw", lambda k: k.contains(F.col("term"))), F.lit(False)))
     by_term_c = sup.join(rt.where(F.col("country").isNotNull()), "country").where(term_hit)
@@ -73,13 +72,13 @@ def filter_suppliers(suppliers: DataFrame, requests: DataFrame, code_matches: Da
 
     has_or = codes.select("request_id").unionByName(t.select("request_id")).distinct()
     plain = requests.select("request_id").join(has_or, "request_id", "left_anti")
-    by_country = sup.join(maybe_broadcast(req_country.join(plain, "request_id")), "country") \
+    by_country = sup.join(req_country.join(plain, "request_id"), "country") \
         .select("request_id", "_id", "country")
 
     cand = by_code.unionByName(by_term).unionByName(by_country)
     # country condition for the code branch (terms and plain branches joined on it already)
     in_country = cand.join(req_country, ["request_id", "country"], "left_semi")
-    free = cand.join(maybe_broadcast(no_country), "request_id", "left_semi")
+    free = cand.join(no_country, "request_id", "left_semi")
     return in_country.unionByName(free).select("request_id", "_id").distinct()
 
 
@@ -107,7 +106,7 @@ def missing_website(df: DataFrame) -> DataFrame:
 
 def name_lookup(df: DataFrame, names: DataFrame, name_col: str = "name") -> DataFrame:
     """records carrying one of the given exact names (semi-join)."""
-    return df.join(maybe_broadcast(names.select(name_col).distinct()), name_col, "left_semi")
+    return df.join(names.select(name_col).distinct(), name_col, "left_semi")
 
 
 def links_for_domain(hits: DataFrame, chosen: DataFrame, keys: Sequence[str] = ("request_id",)) -> DataFrame:
@@ -153,7 +152,7 @@ def expand_codes(codes: DataFrame, seeds: DataFrame, keywords: DataFrame | None
     (request_id, word).  Label search joins on classification with a contains
     residual against the (bounded, broadcast) code table.
     """
-    cb = maybe_broadcast(codes.select("classification", "code", "label"))
+    cb = codes.select("classification", "code", "label")
     seed = seeds.select("request_id", "classification", "code")
     parts = [seed]
     if parents:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourcinglens.functions.records import make_website
-from sourcinglens.sizing import maybe_broadcast
 
 # Standard languages that may be added to every request, and
 # the directory listing URL template.
@@ -26,7 +25,7 @@ def label_codes(counts: DataFrame, codes: DataFrame) -> DataFrame:
     lk = codes.groupBy("classification", "code").agg(
         F.first("label").alias("label"), F.first("relevant").alias("relevant"),
         F.count(F.lit(1)).alias("dup"))
-    out = counts.join(maybe_broadcast(lk), ["classification", "code"], "left")
+    out = counts.join(lk, ["classification", "code"], "left")
     return out.withColumn("found", F.col("dup").isNotNull())
 
 
@@ -35,7 +34,7 @@ def request_languages(longlist: DataFrame, country_languages: DataFrame,
     """Distinct language codes of the countries in each request's long list."""
     cl = country_languages.select(F.col("countryName").alias("country"), "languageCode")
     langs = (longlist.select("request_id", "country").distinct()
-             .join(maybe_broadcast(cl), "country")
+             .join(cl, "country")
              .select("request_id", F.explode(F.split("languageCode", ",")).alias("lang"))
              .select("request_id", F.trim("lang").alias("lang")))
     if add_standard:

@@ -3,9 +3,9 @@
 Top-k per group uses ``row_number() <= k``: Spark plans a WindowGroupLimit
 below the shuffle, so even a hot group is cut to k rows per partition before
 it moves.  Full per-group numbering of possibly hot groups (chunks, ranks of
-long lists) uses ``group_row_number``: range partitioning on the full sort
-key splits a hot group over many tasks, and per-partition offsets make the
-numbers exact — no group is ever held by one task.
+long lists) uses ``group_row_number``: boundary rows cut a hot group into
+buckets by its rows' own values, and the counts of earlier buckets make the
+numbers exact.
 """
 
 from __future__ import annotations
@@ -15,39 +15,66 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOCAL_BITS = 33  # monotonically_increasing_id: record number in the low 33 bits
+BUCKETS_PER_PARTITION = 2      # of the numbering: pieces a long ordered list is cut into
+SAMPLE_PER_BUCKET = 20
 
 
-def _cols(xs: Sequence[Column | str]) -> list[Column]:
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
+def _after(order: Sequence[str], row: Sequence) -> Column:
+    """Whether a row stands after ``row`` in ``order`` ("-name": descending).
+    Nulls come first in ascending and last in descending order."""
+    out = F.lit(False)
+    for name, value in reversed(list(zip(order, row, strict=True))):
+        col, down = F.col(name.removeprefix("-")), name.startswith("-")
+        if value is None:
+            beyond = F.lit(False) if down else col.isNotNull()
+        else:
+            beyond = F.coalesce(col < F.lit(value), F.lit(True)) if down else F.coalesce(col > F.lit(value), F.lit(False))
+        out = beyond | (col.eqNullSafe(F.lit(value)) & out)
+    return out
 
 
-def group_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-                     name: str = "rn") -> DataFrame:
-    """Exact 1-based row numbers per group of ``keys`` in ``order`` (order must
-    be a total order inside each group), without one task per group.
+def _sorted_by(order: Sequence[str]) -> list[Column]:
+    return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
-    Rows are range-partitioned and sorted on (keys, order); inside a partition
-    ``monotonically_increasing_id`` numbers rows consecutively.  A small table
-    of (partition, group) counts gives each group's offset per partition.
+
+def group_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
+                     seed: int = 13) -> DataFrame:
+    """Exact 1-based row numbers per group of ``keys`` in ``order`` ("-name":
+    descending; a total order inside each group), without one task per group.
+
+    A bounded sample of the sort keys gives boundary rows, which become
+    literals: a row's bucket depends on its own values only, so every
+    evaluation of the input agrees on it.  Rows are numbered inside their
+    (group, bucket); the counts of a group's earlier buckets, a small
+    aggregate, are added.  Any boundaries give the same numbers.
     """
-    sort_cols = _cols(list(keys)) + _cols(order)
-    s = (df.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols)
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    s = s.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)).withColumn(
-        "_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-    stats = s.groupBy("_pid", *keys).agg(F.min("_loc").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.select("_pid", *keys, "_first",
-                           F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (s.join(offsets, ["_pid", *keys])
-            .withColumn(name, F.col("_off") + F.col("_loc") - F.col("_first") + 1)
-            .drop("_mid", "_pid", "_loc", "_first", "_off"))
-
-
-def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
-    """Exact 1-based position in a total order over the whole DataFrame,
-    without a single-partition window (same offset technique)."""
+    columns = [*keys, *[o.removeprefix("-") for o in order]]
+    full = [*keys, *order]
+    wanted = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = df.select(*keys).count()
+    share = min(1.0, 2 * SAMPLE_PER_BUCKET * wanted / max(total, 1))
+    sample = df.select(*columns).sample(False, share, seed).orderBy(*_sorted_by(full)).limit(4 * SAMPLE_PER_BUCKET * wanted).collect()
+    bounds = sample[SAMPLE_PER_BUCKET::max(1, len(sample) // wanted)] if len(sample) > SAMPLE_PER_BUCKET else []
+    bucket = F.lit(0)
+    for row in bounds:
+        bucket = bucket + _after(full, row).cast("int")
+    numbered = df.withColumn("_bucket", bucket)
+    counts = numbered.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"),
+                            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*_sorted_by(order)))
+    same = F.col("_bucket") == F.col("_b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = numbered.withColumn("_local", local).join(offsets, same)
+    return out.withColumn(name, F.col("_off") + F.col("_local")).drop(
+        "_bucket", "_local", "_b", "_off", *[f"_k{i}" for i in range(len(keys))])
+
+
+def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
+    """Exact 1-based position in a total order over the whole DataFrame, by the
+    same buckets (their offsets are the only rows seen as a whole)."""
     return group_row_number(df.withColumn("_all", F.lit(0)), ["_all"], order, name).drop("_all")
 
 
@@ -91,7 +118,7 @@ def rank_suppliers(scores: DataFrame, partition: Sequence[str], relevance: str =
     """Rank by relevance descending, stable on ``tie``; rows without text
     carry -1 and therefore rank last.  Exact per-request numbering that also
     holds for very long short lists."""
-    return group_row_number(scores, partition, [F.col(relevance).desc(), *tie], name)
+    return group_row_number(scores, partition, [f"-{relevance}", *tie], name)
 
 
 def top_links(hits: DataFrame, key: Sequence[str], order: Sequence[str] = ("pos",), n: int = 1) -> DataFrame:
@@ -108,7 +135,7 @@ def sample_records(df: DataFrame, n: int, seed: int = 42, where: Column | None =
     return src.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(n)
 
 
-def chunk(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int,
+def chunk(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
           name: str = "chunk") -> DataFrame:
     """Split each ordered list into consecutive groups of ``n`` (0-based)."""
     numbered = group_row_number(df, keys, order, "_rn")
