@@ -65,8 +65,8 @@ class Bpe:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self._table("merges", dict(zip(("l", "r", "tok"), np.array(rows, np.int32).T, strict=True)))
         self._table("vocabulary", {"tok": np.array(list(self.ranks.values()), np.int32), "hex": [t.hex() for t in self.ranks]})
-        self.pieces = Recent(self._pieces, 400_000)
-        self.cache = ChunkCache(self._chunks)
+        self.pieces = Recent(self._pieces, 800_000)
+        self.cache = ChunkCache(self._chunks, 800_000)
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("_new", pa.table({k: pa.array(v) for k, v in columns.items()}))
