@@ -36,50 +36,62 @@ def filter_suppliers(suppliers: DataFrame, requests: DataFrame, code_matches: Da
 
     Per request: country IN countries (when any) AND (some supplier code is
     matched OR the description or a keyword contains a term, when any codes
-    or terms exist) AND website is not ''.
-
-    Three equi-join branches, unioned: codes (exploded supplier codes joined
-    to the matched codes), terms (request terms joined to suppliers on
-    country, then a contains residual) and requests without any code or
-    term (joined on country only).  The request-side tables are bounded by
-    the number of requests and are broadcast after a size check, so the
-    supplier side is never shuffled for the country join.
+    or terms exist) AND website is not ''.  A NULL country list is an empty
+    one; a request with no condition at all gets every supplier.
+
+    Codes are an equi-join.  Terms are one too: a supplier is indexed by its
+    distinct n-grams of up to three letters, a term looks up the one of its
+    n-grams that fewest suppliers have, and ``contains`` confirms.
     """
     sup = suppliers.select("_id", F.col("postalAddress.addressCountry").alias("country"),
                            F.lower(F.col("description")).alias("_desc"),
                            F.transform("keywords", lambda k: F.lower(k)).alias("_kw"),
                            "website", "classifications")
     sup = sup.where(~F.col("website").eqNullSafe(""))
-    req_c = requests.select("request_id", F.explode_outer("countries").alias("country"))
-    req_country = req_c.where(F.col("country").isNotNull())
-    no_country = requests.where(F.size("countries") == 0).select("request_id")
+    place = sup.select("_id", "country")
+    req_country = requests.select("request_id", F.explode("countries").alias("country")).distinct()
+    no_country = requests.where(F.coalesce(F.size("countries"), F.lit(0)) <= 0).select("request_id")
 
     codes = code_matches.select("request_id", "classification", "code")
-    sup_codes = sup.select("_id", "country", F.explode("classifications").alias("classification", "codes")) \
-        .select("_id", "country", "classification", F.explode("codes").alias("code"))
-    by_code = sup_codes.join(codes, ["classification", "code"]).select("request_id", "_id", "country")
-
-    t = terms.select("request_id", F.lower("term").alias("term")).distinct()
-    rt = t.join(req_c, "request_id")  # (request, country or NULL, term)
-    term_hit = (F.coalesce(F.col("_desc").contains(F.col("term")), F.lit(False))
-                | F.coalesce(F.exists("_kw", lambda k: k.contains(F.col("term"))), F.lit(False)))
-    by_term_c = sup.join(rt.where(F.col("country").isNotNull()), "country").where(term_hit)
-    # requests without countries: every supplier is a candidate (the semantics)
-    rt_any = rt.where(F.col("country").isNull()).drop("country").withColumn("_k", F.lit(0))
-    by_term_any = sup.withColumn("_k", F.lit(0)).join(F.broadcast(rt_any), "_k").where(term_hit)
-    by_term = by_term_c.select("request_id", "_id", "country").unionByName(
-        by_term_any.select("request_id", "_id", "country"))
-
+    sup_codes = sup.select("_id", F.explode("classifications").alias("classification", "codes")).select(
+        "_id", "classification", F.explode("codes").alias("code"))
+    by_code = sup_codes.join(codes, ["classification", "code"]).select("request_id", "_id").distinct()
+
+    t = terms.select("request_id", F.lower("term").alias("term")).where(F.length("term") > 0).distinct()
+    texts = sup.select("_id", F.explode(F.concat(F.coalesce("_kw", F.array().cast("array<string>")),
+                                                 F.array(F.coalesce("_desc", F.lit(""))))).alias("text"))
+    grams = texts.select("_id", F.explode(_ngrams(F.col("text"))).alias("gram")).distinct()
+    words = t.select("term").distinct()
+    of_word = words.select("term", F.explode(_ngrams(F.col("term"), longest_only=True)).alias("gram"))
+    held = grams.join(of_word.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
+    key = of_word.join(held, "gram", "left").groupBy("term").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).select("term", F.col("k.gram").alias("gram"))
+    hits = (grams.join(key, "gram").select("_id", "term").join(sup.select("_id", "_desc", "_kw"), "_id")
+            .where(F.coalesce(F.col("_desc").contains(F.col("term")), F.lit(False))
+                   | F.coalesce(F.exists("_kw", lambda k: k.contains(F.col("term"))), F.lit(False))))
+    by_term = hits.select("_id", "term").join(t, "term").select("request_id", "_id")
+
+    matched = by_code.unionByName(by_term).distinct().join(place, "_id")
     has_or = codes.select("request_id").unionByName(t.select("request_id")).distinct()
     plain = requests.select("request_id").join(has_or, "request_id", "left_anti")
-    by_country = sup.join(req_country.join(plain, "request_id"), "country") \
-        .select("request_id", "_id", "country")
-
-    cand = by_code.unionByName(by_term).unionByName(by_country)
-    # country condition for the code branch (terms and plain branches joined on it already)
-    in_country = cand.join(req_country, ["request_id", "country"], "left_semi")
-    free = cand.join(no_country, "request_id", "left_semi")
-    return in_country.unionByName(free).select("request_id", "_id").distinct()
+    in_country = matched.join(req_country, ["request_id", "country"], "left_semi").select("request_id", "_id")
+    free = matched.join(no_country, "request_id", "left_semi").select("request_id", "_id")
+    by_country = place.join(req_country.join(plain, "request_id", "left_semi"), "country").select("request_id", "_id")
+    # No condition: the result is requests x suppliers, so the rows are dealt by supplier.
+    every = plain.join(no_country, "request_id", "left_semi").agg(F.collect_set("request_id").alias("all"))
+    everything = place.select("_id").join(every).select(F.explode("all").alias("request_id"), "_id")
+    return (in_country.unionByName(free).unionByName(by_country).unionByName(everything)).distinct()
+
+
+def _ngrams(text: Column, longest_only: bool = False) -> Column:
+    """Distinct n-grams of up to three characters; ``longest_only``: those of
+    length min(3, length of the text), which any text that contains it has."""
+    def of(n: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
+        return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(n))))
+    if longest_only:
+        return F.when(F.length(text) >= 3, of(3)).when(F.length(text) == 2, of(2)).otherwise(of(1))
+    return F.array_distinct(F.concat(of(3), of(2), of(1)))
 
 
 def project_supplier(df: DataFrame) -> DataFrame:
@@ -149,26 +161,27 @@ def expand_codes(codes: DataFrame, seeds: DataFrame, keywords: DataFrame | None
     contains its stem; distinct ``(request_id, classification, code, label)``.
 
     ``seeds``: (request_id, classification, code); ``keywords``/``stems``:
-    (request_id, word).  Label search joins on classification with a contains
-    residual against the (bounded, broadcast) code table.
+    (request_id, word).  A word looks labels up by its rarest n-gram of up to
+    three letters, and ``contains`` confirms.
     """
     cb = codes.select("classification", "code", "label")
-    seed = seeds.select("request_id", "classification", "code")
-    parts = [seed]
+    wanted = seeds.select("request_id", "classification", "code")
+    seeded = wanted.select("request_id", "classification").distinct()
     if parents:
-        parts.append(seed.where(F.length("code") == 7).select("request_id", "classification",
-                                                              F.left("code", F.lit(5)).alias("code")))
-    wanted = parts[0]
-    for p in parts[1:]:
-        wanted = wanted.unionByName(p)
+        wanted = wanted.unionByName(wanted.where(F.length("code") == 7).withColumn("code", F.left("code", F.lit(5))))
     out = wanted.join(cb, ["classification", "code"]).select("request_id", "classification", "code", "label")
-    cls = seed.select("request_id", "classification").distinct()
+    grams = cb.select("classification", "code", "label", F.explode(_ngrams(F.col("label"))).alias("gram"))
     for words in (keywords, stems):
         if words is None:
             continue
-        w = words.select("request_id", "word").join(cls, "request_id")
-        hit = w.join(cb, "classification").where(F.col("label").contains(F.col("word")))
-        out = out.unionByName(hit.select("request_id", "classification", "code", "label"))
+        w = words.select("request_id", "word").distinct()
+        of_word = w.select("word").distinct().select("word", F.explode(_ngrams(F.col("word"), longest_only=True)).alias("gram"))
+        held = grams.join(of_word.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
+        key = of_word.join(held, "gram", "left").groupBy("word").agg(
+            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).select("word", F.col("k.gram").alias("gram"))
+        hit = grams.join(key, "gram").where(F.col("label").contains(F.col("word"))).select("classification", "code", "label", "word")
+        found = hit.join(w, "word").join(seeded, ["request_id", "classification"], "left_semi")
+        out = out.unionByName(found.select("request_id", "classification", "code", "label"))
     return out.distinct()
 
 
