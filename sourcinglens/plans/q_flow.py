@@ -190,13 +190,13 @@ rk AS (SELECT page_id, site, row_number() OVER (PARTITION BY site ORDER BY page_
 st AS (SELECT rk.*, p.status = 200 AS success FROM rk JOIN page_status p USING (page_id)),
 cum AS (SELECT *, coalesce(sum(CAST(success AS INTEGER)) OVER (PARTITION BY site ORDER BY r
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM st)
-SELECT site, page_id AS page, CAST(floor(log2(r)) AS INTEGER) AS depth, success FROM cum WHERE before < 5""")
+SELECT site, page_id AS page, CAST(floor(log2(r)) AS INTEGER) AS depth, success FROM cum WHERE before < 31""")
 
 
 @register("R8_crawl_closure", _CRAWL_SQL)
 def r8_crawl_closure(spark, d):
     edges, roots, ok = _crawl_inputs(spark, d)
-    c = cr.crawl_closure(edges, roots, ok, budget=5)
+    c = cr.crawl_closure(edges, roots, ok)
     return c.select("site", "page", "depth", "success")
 
 
@@ -206,10 +206,10 @@ st AS (SELECT rk.*, p.status = 200 AS success FROM rk JOIN page_status p USING (
 cum AS (SELECT *, coalesce(sum(CAST(success AS INTEGER)) OVER (PARTITION BY site ORDER BY r
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM st)
 SELECT DISTINCT site, unnest(regexp_extract_all(html, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+')) AS email
-FROM cum WHERE before < 5 AND success"""))
+FROM cum WHERE before < 31 AND success"""))
 def r9_site_emails(spark, d):
     edges, roots, ok = _crawl_inputs(spark, d)
-    c = cr.crawl_closure(edges, roots, ok, budget=5)
+    c = cr.crawl_closure(edges, roots, ok)
     return cr.site_emails(read_table(spark, d, "pages"), c).select("site", "email")
 
 
@@ -248,12 +248,9 @@ def u3_email_union(spark, d):
 
 @register("P5_resolve_websites")
 def p5_resolve_websites(spark, d):
-    names = dv.supplier_base(spark, d).select(F.col("id"), "name")
-    s = read_table(spark, d, "supplier").select("s_suppkey")
-    names = names.join(s, names.id == F.concat(F.lit("sup-"), F.col("s_suppkey").cast("string"))).select(
-        F.concat(F.lit("q"), (F.col("s_suppkey") % 10).cast("string")).alias("request_id"), "name")
-    names = wn.first_by(names, ["request_id"], ["name"])
-    return pl.resolve_websites(names, search_hits(spark, d))
+    """Every company with its own result list."""
+    from sourcinglens.plans.q_more import companies, company_hits
+    return pl.resolve_websites(companies(spark, d), company_hits(spark, d))
 
 
 @register("J6_attach_candidates", with_ctes(["supplier_base"], """
