@@ -245,7 +245,14 @@ def render(rng: np.random.Generator, texts: list[str]) -> str:
 
 def training_texts(pages: DataFrame, html_col: str = "html", sample: int = 300) -> list[str]:
     """Visible text of at most ``sample`` pages, chosen by a hash of the page."""
-    rows = pick(pages, html=html_col).where(F.octet_length("html").between(1, 1 << 16)).orderBy(F.xxhash64("html"), "html").limit(sample).collect()
+    keyed = pick(pages, html=html_col).where(F.octet_length("html").between(1, 1 << 16)).withColumn("key", F.xxhash64("html"))
+    total = keyed.select("key").count()
+    # About 4 * sample keys lie below the mark, however many pages there are:
+    # no partition hands the driver more, and of equal pages one is taken.
+    mark = int(min(1.0, 4 * sample / max(total, 1)) * (1 << 30))
+    low = F.pmod("key", F.lit(1 << 30)) < mark
+    chosen = keyed.where(low).select("key").distinct().orderBy("key").limit(sample)
+    rows = keyed.where(low).join(F.broadcast(chosen), "key").groupBy("key").agg(F.first("html").alias("html")).orderBy("key").collect()
     texts = []
     for r in rows:
         blocks = blocks_of(parse(r.html))
