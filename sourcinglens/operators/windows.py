@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sourcinglens.session import cut_lineage
+
 BUCKETS_PER_PARTITION = 2      # of the numbering: pieces a long ordered list is cut into
 SAMPLE_PER_BUCKET = 20
 
@@ -48,6 +50,7 @@ def group_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], n
     (group, bucket); the counts of a group's earlier buckets, a small
     aggregate, are added.  Any boundaries give the same numbers.
     """
+    df = cut_lineage(df)                     # it is read four times below
     columns = [*keys, *[o.removeprefix("-") for o in order]]
     full = [*keys, *order]
     wanted = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
