@@ -109,10 +109,10 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
 def cap_pages(pages: DataFrame, key: Sequence[str], url: str = "url", max_pages: int = 7,
               seed: int = 42) -> DataFrame:
     """At most ``max_pages`` pseudo-random pages per key (reproducible:
-    ordered by a seeded hash of the url); no cap when max_pages <= 0."""
+    ordered by the MD5 of url and seed); no cap when max_pages <= 0."""
     if max_pages <= 0:
         return pages
-    w = Window.partitionBy(*key).orderBy(F.xxhash64(F.col(url), F.lit(seed)), F.col(url))
+    w = Window.partitionBy(*key).orderBy(F.md5(F.concat(F.col(url), F.lit(f"|{seed}"))), F.col(url))
     return pages.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_pages).drop("_r")
 
 
@@ -132,10 +132,10 @@ def top_links(hits: DataFrame, key: Sequence[str], order: Sequence[str] = ("pos"
 
 def sample_records(df: DataFrame, n: int, seed: int = 42, where: Column | None = None,
                    id_col: str = "_id") -> DataFrame:
-    """``n`` pseudo-random records (seeded hash order; reproducible),
+    """``n`` pseudo-random records (order of the MD5 of id and seed; reproducible),
     optionally filtered.  Planned as TakeOrderedAndProject (top-n per task)."""
     src = df if where is None else df.where(where)
-    return src.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(n)
+    return src.orderBy(F.md5(F.concat(F.col(id_col), F.lit(f"|{seed}"))), F.col(id_col)).limit(n)
 
 
 def chunk(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,

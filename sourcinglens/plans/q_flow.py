@@ -164,12 +164,6 @@ def p1_identify_suppliers(spark, d):
     return _p1(spark, d)
 
 
-@register("A7_suppliers_without_text")
-def a7_suppliers_without_text(spark, d):
-    r = _p1(spark, d).withColumn("text", F.when(F.col("n_tokens") > 0, F.array(F.lit("x"))).otherwise(F.array()))
-    return st.suppliers_without_text(r)
-
-
 # --- crawl closure ------------------------------------------------------------
 
 def _crawl_inputs(spark, d):

@@ -240,7 +240,9 @@ def t12_title_case(spark, d):
     return p.select("page_id", rc.title_case(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)).alias("title"))
 
 
-@register("T13_normalise_address")
+@register("T13_normalise_address", with_ctes(["supplier_base"], """
+SELECT id AS _id, CASE WHEN trim(country) = 'USA' THEN 'United States' ELSE trim(country) END AS country,
+ replace(replace(concat_ws(chr(10), name, country), chr(10), ';'), ' ;', '; ') AS "addressRaw" FROM supplier_base"""))
 def t13_normalise_address(spark, d):
     b = dv.supplier_base(spark, d)
     return b.select(F.col("id").alias("_id"), rc.normalise_country("country").alias("country"),

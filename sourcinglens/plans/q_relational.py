@@ -271,7 +271,9 @@ def w2_first_by(spark, d):
     return wn.first_by(s, ["website"], ["_id"])
 
 
-@register("W3_cap_pages")
+@register("W3_cap_pages", with_ctes(["site_page"], """
+SELECT site, page_id, url FROM (SELECT site, page_id, url,
+ row_number() OVER (PARTITION BY site ORDER BY md5(url || '|42'), url) AS r FROM site_page) x WHERE r <= 7"""))
 def w3_cap_pages(spark, d):
     return wn.cap_pages(dv.site_page(spark, d, with_html=False), ["site"], "url", 7).select("site", "page_id", "url")
 
@@ -283,7 +285,8 @@ def w5_top_links(spark, d):
     return wn.top_links(search_hits(spark, d), ["request_id"], ["pos"], 3).select("request_id", "pos", "link")
 
 
-@register("W6_sample_records")
+@register("W6_sample_records", with_ctes(["supplier_base"], """
+SELECT id AS _id, name FROM supplier_base ORDER BY md5(id || '|7'), id LIMIT 10"""))
 def w6_sample_records(spark, d):
     return wn.sample_records(dv.suppliers(spark, d), 10, seed=7).select("_id", "name")
 
