@@ -24,6 +24,7 @@ INVISIBLE_BLOCKS = (
     r"(?is)<script[^>]*>.*?</script\s*>",
     r"(?is)<style[^>]*>.*?</style\s*>",
     r"(?is)<title[^>]*>.*?</title\s*>",
+    r"(?is)<head\b[^>]*>.*?</head\s*>",
     r"(?is)<!DOCTYPE[^>]*>",
 )
 TAG = r"<[^>]*>"
@@ -46,11 +47,35 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _numeric(text: Column) -> Column:
+    """Numeric character references decoded; ones that name no character go."""
+    reference = r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+    code = lambda n: F.when(F.lower(n).startswith("x"), F.conv(F.substring(n, 2, 6), 16, 10)).otherwise(n).cast("int")
+
+    def char(n: Column) -> Column:
+        k = code(n)
+        real = k.between(1, 0xD7FF) | k.between(0xE000, 0x10FFFF)
+        return F.when(real, F.decode(F.unhex(F.lpad(F.hex(k), 8, "0")), "UTF-32")).otherwise(F.lit(""))
+
+    chars = F.transform(F.regexp_extract_all(text, F.lit(reference), F.lit(1)), char)
+    pieces = F.split(text, reference)
+    joined = F.concat_ws("", F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(chars, i), F.lit("")))))
+    return F.when(text.contains("&#"), joined).otherwise(text)
+
+
 def decode_entities(col: Column | str) -> Column:
+    """Named (fixed list) and numeric references; '&amp;' last, so what it
+    uncovers is not decoded again."""
     c = _c(col)
-    for ent, ch in ENTITIES:
+    for ent, ch in ENTITIES[:-1]:
         c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    c = F.get(F.transform(F.array(c), _numeric), F.lit(0))      # bound once: it is used several times
+    return F.replace(c, F.lit(ENTITIES[-1][0]), F.lit(ENTITIES[-1][1]))
+
+
+def quoted_attributes(html: Column) -> Column:
+    """Puts quotes around unquoted href and src values."""
+    return F.regexp_replace(html, r"""(?i)(\s(?:href|src)\s*=\s*)([^\s"'>]+)""", '$1"$2"')
 
 
 def visible_text(html: Column | str) -> Column:
@@ -69,14 +94,14 @@ def visible_tokens(html: Column | str) -> Column:
 
 def image_sources(html: Column | str) -> Column:
     """H2: non-empty, trimmed img src values."""
-    srcs = F.transform(F.regexp_extract_all(_c(html), F.lit(IMG_SRC), 1), lambda s: F.trim(decode_entities(s)))
+    srcs = F.transform(F.regexp_extract_all(quoted_attributes(_c(html)), F.lit(IMG_SRC), 1), lambda s: F.trim(decode_entities(s)))
     return F.filter(srcs, lambda s: s != "")
 
 
 def page_links(pages: DataFrame, key: Sequence[str] = ("page_id",), url: str = "url") -> DataFrame:
     """H3: anchors resolved against the page URL, '.gz' dropped, same origin
     only (the page's origin occurs in the link).  Rows: (key..., pos, link)."""
-    hrefs = F.regexp_extract_all(F.col("html"), F.lit(A_HREF), 1)
+    hrefs = F.regexp_extract_all(quoted_attributes(F.col("html")), F.lit(A_HREF), 1)
     ex = pages.select(*key, F.col(url).alias("_base"), F.posexplode(hrefs).alias("pos", "href"))
     resolved = ex.select(*key, "_base", "pos", urls.resolve_link(F.col("_base"), decode_entities("href")).alias("link"))
     origin = F.regexp_extract("_base", urls.ORIGIN, 1)
