@@ -2,7 +2,8 @@
 
 The cache is a table (tokenizer, digest, n_tokens) in shared storage: digest is
 the SHA-256 of the content (null and empty are the same content), tokenizer
-that of the tokenizer file and the library's version.  A run joins its texts'
+that of the tokenizer file, the library's version and the way texts are cut
+into chunks.  A run joins its texts'
 digests with the stored counts, encodes one document of each digest that is
 missing, appends the new counts and reads every count from the cache.  Texts
 that repeat, in this run or an earlier one, are so encoded once.  A run that
@@ -21,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcinglens.llm.chunks import ChunkCache
+from sourcinglens.llm.chunks import CUT, ChunkCache
 from sourcinglens.llm.common import cut, pick, spread_join
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -31,7 +32,7 @@ def tokenizer_version(tokenizer_file: str) -> str:
     import tokenizers
 
     with open(tokenizer_file, "rb") as f:
-        return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
+        return hashlib.sha256(f.read() + tokenizers.__version__.encode() + CUT.encode()).hexdigest()
 
 
 def read_cache(spark: SparkSession, cache_path: str) -> DataFrame:
