@@ -69,8 +69,10 @@ def blocks_of(root: Node) -> list[Block]:
     """Blocks in page order (the first is the root), sums filled in."""
     out = [Block(root, None)]
 
-    def walk(node: Node, block: Block, linked: bool) -> None:
-        for part in node.parts:
+    open_parts = [(iter(root.parts), out[0], False)]         # a stack of our own: pages nest deeper than Python may
+    while open_parts:
+        parts, block, linked = open_parts[-1]
+        for part in parts:
             if isinstance(part, str):
                 n = len(part.strip())
                 block.own += n
@@ -81,14 +83,17 @@ def blocks_of(root: Node) -> list[Block]:
             elif part.tag in INLINE or part.tag in ("br", "img"):
                 block.links += part.tag == "a"
                 block.tags += 1
-                walk(part, block, linked or part.tag == "a")
+                open_parts.append((iter(part.parts), block, linked or part.tag == "a"))
+                break
             else:
                 child = Block(part, block)
                 block.children.append(child)
                 out.append(child)
-                walk(part, child, linked)
+                open_parts.append((iter(part.parts), child, linked))
+                break
+        else:
+            open_parts.pop()
 
-    walk(root, out[0], False)
     for b in reversed(out):
         b.chars += b.own
         b.tags += 1
@@ -140,23 +145,28 @@ def text_of(blocks: list[Block], labels: list[int]) -> str:
     label = {id(b.node): x for b, x in zip(blocks, labels, strict=True)}
     out: list[list[str]] = [[]]
 
-    def walk(node: Node, main: bool) -> None:
-        for part in node.parts:
+    open_parts = [(iter(blocks[0].node.parts), False, False)]
+    while open_parts:
+        parts, main, is_block = open_parts[-1]
+        for part in parts:
             if isinstance(part, str):
                 if main:
                     out[-1].append(part)
             elif part.tag in HIDDEN:
                 continue
             elif part.tag in INLINE:
-                walk(part, main)
+                open_parts.append((iter(part.parts), main, False))
+                break
             elif id(part) in label:
                 out.append([])
-                walk(part, label[id(part)] == MAIN)
-                out.append([])
+                open_parts.append((iter(part.parts), label[id(part)] == MAIN, True))
+                break
             elif main:
                 out[-1].append(" ")                   # br, img and the like part words
-
-    walk(blocks[0].node, False)
+        else:
+            open_parts.pop()
+            if is_block:
+                out.append([])
     return "\n".join(t for t in (_SPACE.sub(" ", "".join(p)).strip() for p in out) if t)
 
 
