@@ -1,7 +1,7 @@
 """A small HTML reader: pages to element trees with the text in page order.
 
 Tolerant the way browsers are where it matters for text: void elements, raw
-text elements, elements whose end tag may be left out, stray end tags, quoted
+text elements, elements whose tags may be left out, stray end tags, quoted
 and unquoted attributes, and pages cut off in the middle.
 """
 
@@ -17,8 +17,10 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
 #: Never part of a text, whatever the model says.
-HIDDEN = set("head script style noscript template iframe object svg math canvas audio video form button select option "
-             "textarea input label fieldset datalist dialog title".split())
+HIDDEN = set("head script style noscript template iframe object svg math canvas audio video button select option "
+             "textarea input label datalist dialog title".split())
+#: What may stand in a head; anything else ends it.
+IN_HEAD = set("base basefont bgsound head link meta noframes noscript object script style template title".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span "
              "strike strong sub sup time tt u var wbr nobr".split())
 #: Start tag -> open elements that it ends, up to the nearest of SCOPE.
@@ -50,6 +52,8 @@ def parse(page: str) -> Node:
         m = TOKEN.search(page, at)
         if m is None or m.start() > at:
             text = page[at:m.start() if m else n]
+            if stack[-1].tag == "head" and text.strip():
+                stack.pop()
             stack[-1].parts.append(html.unescape(text) if "&" in text else text)
         if m is None:
             break
@@ -65,6 +69,8 @@ def parse(page: str) -> Node:
                 if tag in INLINE and stack[i].tag not in INLINE:       # a stray inline end tag ends no block
                     break
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in ENDS:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SCOPE[tag]:

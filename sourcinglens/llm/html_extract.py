@@ -44,19 +44,21 @@ HINTS = {
 }
 HINT_OF = {w: i for i, words in enumerate(HINTS.values()) for w in words.split()}
 TAGS = ["html", "body", "div", "section", "article", "main", "nav", "header", "footer", "aside", "ul", "ol", "li", "p",
-        "h1", "h2", "h3", "blockquote", "pre", "table", "tr", "td", "figure", "figcaption", "dl"]
+        "h1", "h2", "h3", "blockquote", "pre", "table", "tr", "td", "figure", "figcaption", "dl", "form", "fieldset"]
+#: Controls of a form: their own text is hidden, their number tells.
+FIELDS = {"input", "select", "button", "textarea"}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Block:
     """A block element: its part of the text, and sums over its subtree."""
-    __slots__ = ("node", "parent", "children", "own", "chars", "linked", "links", "tags", "paragraphs", "marks", "hints",
-                 "above", "place", "label")
+    __slots__ = ("node", "parent", "children", "own", "chars", "linked", "links", "tags", "paragraphs", "marks", "fields",
+                 "hints", "above", "place", "label")
 
     def __init__(self, node: Node, parent: Block | None):
         self.node, self.parent, self.children = node, parent, []
-        self.own = self.chars = self.linked = self.links = self.tags = self.paragraphs = self.marks = 0
+        self.own = self.chars = self.linked = self.links = self.tags = self.paragraphs = self.marks = self.fields = 0
         values = attributes(node.attrs) if node.attrs else {}
         self.label = values.get("data-known")
         text = " ".join(values.get(a, "") for a in ("class", "id", "role", "aria-label"))
@@ -79,7 +81,7 @@ def blocks_of(root: Node) -> list[Block]:
                 block.linked += n * linked
                 block.marks += sum(part.count(c) for c in ".,;:!?")
             elif part.tag in HIDDEN:
-                continue
+                block.fields += part.tag in FIELDS and attributes(part.attrs).get("type", "").lower() != "hidden"
             elif part.tag in INLINE or part.tag in ("br", "img"):
                 block.links += part.tag == "a"
                 block.tags += 1
@@ -99,7 +101,7 @@ def blocks_of(root: Node) -> list[Block]:
         b.tags += 1
         b.paragraphs += b.node.tag == "p"
         if b.parent:
-            for k in ("chars", "linked", "links", "tags", "paragraphs", "marks"):
+            for k in ("chars", "linked", "links", "tags", "paragraphs", "marks", "fields"):
                 setattr(b.parent, k, getattr(b.parent, k) + getattr(b, k))
         for i, c in enumerate(b.children):
             c.place = i
@@ -118,7 +120,7 @@ def features(blocks: list[Block]) -> np.ndarray:
             b.chars / total, np.log1p(b.chars), b.chars / b.tags, b.linked / max(b.chars, 1), b.links, b.tags, b.paragraphs,
             b.marks / max(b.chars, 1), b.own / max(b.chars, 1), b.node.depth, len(b.children), b.place, len(mates),
             alike / len(mates), b.chars / around, max((m.chars for m in mates), default=0) / around, seen / total,
-            sum(m.paragraphs for m in mates), TAGS.index(tag) if tag in TAGS else -1,
+            sum(m.paragraphs for m in mates), b.fields, b.fields / (b.tags + b.fields), TAGS.index(tag) if tag in TAGS else -1,
             TAGS.index(b.parent.node.tag) if b.parent and b.parent.node.tag in TAGS else -1,
             *(tag == t for t in TAGS), *(i in b.hints for i in range(len(HINTS))), *(i in b.above for i in range(len(HINTS)))])
         seen += b.own
@@ -218,6 +220,8 @@ def render(rng: np.random.Generator, texts: list[str]) -> str:
                 el(rng.choice(["div", "li", "article"]), k, "comment reply comment-body", (f'<span>{words(1, 3)}</span>' if rng.random() < .5 else "") + p(k, 4, 60), 0.2) for _ in some(1, 6)), 0.05),
             lambda: el(rng.choice(["div", "section"]), k, "related share social more recommended tags", links(k, 2, 7), 0.2),
             lambda: el(rng.choice(["footer", "footer", "div"]), k, "footer site-footer bottom copyright", f"&copy; {words(1, 4)} &middot; {words(2, 20)}" + (links(k, 2, 6) if rng.random() < .4 else ""), 0.15),
+            lambda: el("form", k, "search newsletter login subscribe contact-form comment-form", rng.choice([words(1, 12), p(k, 2, 15), f'<h3 data-known="B">{words(1, 5)}</h3>', f'<div data-known="B">{words(1, 8)}</div>'])
+                       + "".join(rng.choice(['<label>Name</label><input type="text">', "<input name=q>", "<select><option>one</select>", "<textarea></textarea>"]) for _ in some(1, 5)) + "<button>Go</button>", 0.3),
         ][kind]()
 
     def piece() -> str:
@@ -234,7 +238,7 @@ def render(rng: np.random.Generator, texts: list[str]) -> str:
             return f'<blockquote data-known="M">{p("M")}</blockquote>'
         if r < 0.95:
             return f'<div data-known="M">{words(8, 60)}</div>'
-        return boiler(int(rng.choice([3, 6, 3, 4])))
+        return boiler(int(rng.choice([3, 6, 3, 4, 8])))
 
     head = f'<h1 data-known="M">{words(2, 14)}</h1>'
     pieces = [piece() for _ in some(1, 14)] if rng.random() < 0.85 else [p("M", 3, 12)]
@@ -249,8 +253,12 @@ def render(rng: np.random.Generator, texts: list[str]) -> str:
     for _ in some(0, 3):
         page = el(rng.choice(["div", "div", "main", "section"]), "O", "wrapper container page row layout site content", page, 0.4)
     page = page if inner else before + page + after
-    return (f'<!DOCTYPE html><html data-known="O"><head><title>{words(2, 8)}</title></head><body data-known="O">{page}'
-            + (boiler(7) if rng.random() < 0.8 else "") + "</body></html>")
+    if rng.random() < 0.3:
+        page = boiler(8) + page if rng.random() < 0.5 else page + boiler(8)
+    page += boiler(7) if rng.random() < 0.8 else ""
+    if rng.random() < 0.15:                           # some servers put the whole page into one form
+        page = el("form", "O", "aspnetForm form1 main-form page", '<input type="hidden" name="__VIEWSTATE" value="x">' + page, 0.2)
+    return f'<!DOCTYPE html><html data-known="O"><head><title>{words(2, 8)}</title></head><body data-known="O">{page}</body></html>'
 
 
 def training_texts(pages: DataFrame, html_col: str = "html", sample: int = 300) -> list[str]:

@@ -24,3 +24,38 @@ def visible(page):
 def test_deep_pages(model, page, blocks):
     assert len(hx.blocks_of(parse(page))) == blocks and visible(page) == "deep text"
     assert list(hx.extract(model, [page, "<p>x"]))[0] in ("", "deep text")
+
+
+ARTICLE = "<h1>A headline of it</h1>" + "".join(f"<p>Sentence {i} of the story, told at length and with care, as it was.</p>" for i in range(6))
+STORY = "\n".join(["A headline of it"] + [f"Sentence {i} of the story, told at length and with care, as it was." for i in range(6)])
+MENU = '<nav class="menu"><ul><li><a href="/">Home</a><li><a href="/x">Prices</a><li><a href="/y">About</a></ul></nav>'
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>x</title></head><body><form id=aspnetForm method=post><input type=hidden name=__VIEWSTATE value=x>{menu}<div class=content>{article}</div></form></body></html>",
+    "<form name=form1><article>{article}</article></form>", "<head><title>x</title><div class=content>{article}</div>",
+    "<html><head><meta charset=utf-8><title>x</title>{menu}<article>{article}</article></html>"])
+def test_page_wide_forms_and_omitted_tags(model, page):
+    assert list(hx.extract(model, [page.format(article=ARTICLE, menu=MENU)])) == [STORY]
+
+
+def test_forms_of_a_page_are_no_text(model):
+    form = '<form class="newsletter"><p>Get our letter</p><label>Mail</label><input type=email><button>Send</button></form>'
+    page = f"<html><body>{MENU}<article>{ARTICLE}</article>{form}</body></html>"
+    assert list(hx.extract(model, [page])) == [STORY]
+
+
+def test_head_holds_only_what_may_stand_there():
+    assert visible("<html><head><title>x</title><script>a<b</script><noscript><img></noscript>seen") == "seen"
+    assert visible("<head><title>x</title> <style>p{}</style></head><p>seen<form>too<button>no</button></form>") == "seen\ntoo"
+    assert visible("<html><head><template><div>no</div></template><title>x</title><span>seen</span>") == "seen"
+
+
+def test_rendered_pages_in_one_form(model):
+    rng, same = np.random.default_rng(9), []
+    for _ in range(60):
+        page = hx.render(rng, TEXTS).replace('<body data-known="O">', '<body data-known="O"><form data-known="O" id="aspnetForm">')
+        blocks = hx.blocks_of(parse(page))
+        want = hx.text_of(blocks, [{"O": 0, "M": 1, "B": 2}.get(b.label, 0) for b in blocks])
+        same.append(list(hx.extract(model, [page]))[0] == want and want != "")
+    assert np.mean(same) >= 0.85
