@@ -11,30 +11,43 @@ name by a name of the same gender and script, punctuation and length kept.
   or that is itself an entity of the corpus, is drawn again for all but one of
   them, until none is left.  Different entities stay different.
 
+Names are found behind a title, and then wherever their words stand in the same
+document; the README lists what is not found.
+
 Texts without an entity pass by unshuffled; only the others meet the surrogate
 table, by their digest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcinglens.llm.common import cut, pick, spread_join
 
 #: What introduces a name, by the gender it tells.
-MALE = "Mr|Herr|Monsieur|Señor|Sig|господин"
-FEMALE = "Mrs|Ms|Miss|Frau|Madame|Señora|Señorita|госпожа"
+MALE = "Mr|Mister|Sir|Lord|Herr|Monsieur|Señor|Don|Sig|Signor|господин"
+FEMALE = "Mrs|Ms|Miss|Lady|Dame|Frau|Madame|Mme|Mlle|Mademoiselle|Señora|Señorita|Doña|Signora|госпожа"
+EITHER = "Dr|Doctor|Doktor|Prof|Professor|Rev|Mx"
+TITLE = f"{MALE}|{FEMALE}|{EITHER}"
+_INNER = r"(?:['’-]\p{Lu}\p{L}+)"
+_LAST = rf"\p{{Lu}}(?:[\p{{L}}\p{{M}}]+{_INNER}*|{_INNER}+)"
+#: Up to three given names or initials, then a word of two letters or more.
+NAME = rf"(?:(?:(?:\p{{Lu}}\.)+|\p{{Lu}}|{_LAST}) ){{0,3}}{_LAST}"
+TITLED = rf"\b(?:{TITLE})\.? ({NAME})"
+INITIAL = r"^(?:\p{Lu}|(?:\p{Lu}\.)+)$"
+_KEY = r"(?i:token|api[_-]?key|secret|password|passwd|pwd|key)[\"']? ?[=:] ?"
 _EDGE, _END = r"(?<![\p{L}\p{N}_.])", r"(?![\p{L}\p{N}_]|\.\d)"
 
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
-    "secret": r"(?<=(?:token|api_key|apikey|secret|password|passwd|key) ?[=:] ?[\"'])[A-Za-z0-9_/+=.-]{8,}(?=[\"'])",
+    "secret": rf"(?<={_KEY}[\"'])[A-Za-z0-9_/+=.-]{{8,}}(?=[\"'])|(?<={_KEY})(?=[A-Za-z_/+=.-]*\d)[A-Za-z0-9_/+=.-]{{8,}}",
     "ip": _EDGE + r"(?:\d{1,3}\.){3}\d{1,3}" + _END,
     "ssn": _EDGE + r"\d{3}-\d{2}-\d{4}" + _END,
     "card": _EDGE + r"(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})" + _END,
-    "phone": r"(?<![\p{L}\p{N}_+])(?:(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}|\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,4}\)?){2,4})(?!\d|\.\d)",
-    "name": rf"(?<=\b(?:{MALE}|{FEMALE})\.? )\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "phone": r"(?<![\p{L}\p{N}_+])(?:(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}"
+             r"|0\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}|0\d(?:[ .-]\d{2}){4})(?!\d|\.\d)",
+    "name": rf"(?<=\b(?:{TITLE})\.? ){NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -61,7 +74,7 @@ def kind_of(found: Column) -> Column:
             .when(found.rlike(r"^(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})$"),
                   F.when(luhn_sum(digits) % 10 == 0, "card"))
             .when(found.rlike(r"^[+(\d][\d() .-]+$") & (F.length(digits) >= 7), "phone")
-            .when(found.rlike(r"^\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?$"), "name").otherwise("secret"))
+            .when(found.rlike(rf"^{NAME}$"), "name").otherwise("secret"))
 
 
 def normal_form(kind: Column, found: Column) -> Column:
@@ -173,28 +186,42 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     and table give the same surrogates.
     """
     base = pick(docs, doc_id=id_col, text=text_col)
-    found = F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)),
+    # Words of a document's titled names are entities wherever they stand in it.
+    titled = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(TITLED), F.lit(1)), lambda m: F.split(m, " ")))
+    base = base.withColumn("bare", F.when(F.col("text").rlike(TITLE), F.array_distinct(F.filter(titled, lambda w: ~w.rlike(INITIAL)))))
+    word = F.concat(F.lit("(?:"), F.array_join("bare", "|"), F.lit(")"))
+    pattern = F.when(F.size("bare") > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}_])"), word, F.lit("(?: "), word, F.lit(r")*(?![\p{L}\p{N}_])"))).otherwise(ANY)
+    found = F.transform(F.regexp_extract_all("text", pattern, F.lit(0)),
                         lambda m: F.struct(m.alias("found"), kind_of(m).alias("kind")))
-    rows = base.withColumn("found", F.when(F.col("text").rlike(r"[@0-9\"']|(?:Mr|Ms|Mrs|Miss|Herr|Frau|Mon|Mad|Señ|Sig|гос)"), found))
+    rows = base.withColumn("found", F.when(F.col("text").rlike(rf"[@0-9\"']|{TITLE}"), found))
     any_found = F.coalesce(F.exists("found", lambda m: m["kind"].isNotNull()), F.lit(False))
     clean = rows.where(~any_found).select("doc_id", "text", F.lit(0).alias("n_entities"), F.lit("").alias("kinds"))
-    hit = rows.where(any_found).select("doc_id", "text", F.sha2("text", 256).alias("digest"), "found")
+    hit = rows.where(any_found).select("doc_id", "text", F.sha2("text", 256).alias("digest"), "bare", "found")
 
     # Names are entities by word: family and given names are known on their own.
     gender = F.when(F.regexp_extract("before", rf"(?:\b(?:{FEMALE}))\.? $", 0) != "", "female").otherwise("male")
-    pieces = F.split("text", ANY)
+    pieces = F.split("text", pattern)
     spots = cut(hit.dropDuplicates(["digest"]).select("digest", F.posexplode("found").alias("pos", "m"), pieces.alias("pieces"))
                 .select("digest", "pos", F.col("m.found").alias("found"), F.col("m.kind").alias("kind"),
                         F.get("pieces", F.col("pos")).alias("before"))
-                .where("kind IS NOT NULL").withColumn("gender", F.when(F.col("kind") == "name", gender)).drop("before"))
+                .where("kind IS NOT NULL").withColumn("gender", F.when(F.col("kind") == "name", gender))
+                .withColumn("titled", F.col("before").rlike(rf"\b(?:{TITLE})\.? $")).drop("before"))
     words = F.split("found", " ")
     as_name = F.transform(words, lambda w, i: F.struct(
-        F.when(i == F.size(words) - 1, "family").otherwise(F.concat(F.lit("given "), F.col("gender"))).alias("kind"), w.alias("entity")))
+        F.when(w.rlike(INITIAL), "initial").when(i == F.size(words) - 1, "family").otherwise(F.concat(F.lit("given "), F.col("gender"))).alias("kind"), w.alias("entity")))
     one = F.array(F.struct(F.col("kind").alias("kind"), normal_form(F.col("kind"), F.col("found")).alias("entity")))
-    parts = spots.select("digest", "pos", "found", F.posexplode(F.when(F.col("kind") == "name", as_name).otherwise(one)).alias("word", "e"))
-    parts = cut(parts.select("digest", "pos", "found", "word", "e.kind", "e.entity")).withColumn(
+    parts = spots.select("digest", "pos", "found", "titled", F.posexplode(F.when(F.col("kind") == "name", as_name).otherwise(one)).alias("word", "e"))
+    # A bare mention is what the document's titled name says that the word is.
+    parts = parts.select("digest", "pos", "found", "titled", "word", "e.kind", "e.entity")
+    is_name = F.col("kind").rlike("^(given|family)")
+    said = F.min(F.when(F.col("titled") & is_name, F.col("kind"))).over(Window.partitionBy("digest", "entity"))
+    parts = parts.withColumn("kind", F.when(is_name & ~F.col("titled"), F.coalesce(said, "kind")).otherwise(F.col("kind")))
+    parts = cut(parts.drop("titled")).withColumn(
         "at", F.struct("kind", "entity"))
-    names = surrogates(cut(parts.select("kind", "entity").distinct()), key)
+    entities = cut(parts.select("kind", "entity").distinct())
+    names = surrogates(entities.where("kind != 'initial'"), key)
+    # Initials are too few to stay different.
+    names = names.unionByName(draw(entities.where("kind = 'initial'").withColumn("attempt", F.lit(0)), key).drop("attempt"))
     named = spread_join(parts.drop("kind", "entity"), names.select(F.struct("kind", "entity").alias("at"), "name"), "at", "digest")
     written = named.select("digest", "pos", "word", F.col("at.kind").alias("kind"),
                            _in_shape(F.col("at.kind"), F.col("found"), F.col("name")).alias("new"))
@@ -202,9 +229,9 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     spot = written.groupBy("digest", "pos").agg(joined.alias("new"), F.min("kind").alias("kind"))
     by_text = cut(spot.groupBy("digest").agg(
         F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("new"), F.count("*").cast("int").alias("n_entities"),
-        F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("kind").rlike("^(given|family)"), "name").otherwise(F.col("kind"))))).alias("kinds")))
+        F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("kind").rlike("^(given|family|initial)"), "name").otherwise(F.col("kind"))))).alias("kinds")))
 
     whole = spread_join(hit, by_text, "digest", "doc_id")
     whole = whole.withColumn("said", F.transform("found", lambda m, i: F.coalesce(F.try_element_at("new", i), m["found"])))
-    text = F.concat_ws("", F.transform(F.split("text", ANY), lambda p, i: F.concat(p, F.coalesce(F.get("said", i), F.lit("")))))
+    text = F.concat_ws("", F.transform(F.split("text", pattern), lambda p, i: F.concat(p, F.coalesce(F.get("said", i), F.lit("")))))
     return clean.unionByName(whole.select("doc_id", text.alias("text"), "n_entities", "kinds"))
