@@ -47,14 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str | list[str], by: str, salts: int = 64) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str | list[str], by: str, salts: int = 64,
+                how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table`` (one row per ``key``) without ever sending
     all rows of one key to one task: the table's row is first handed to the
     salts in use (few), then meets the rows of each salt.  ``rows`` is read
-    twice, so give it a cut or a cheap one."""
+    twice, so give it a cut or a cheap one.  ``how="left"`` keeps the rows of
+    keys that ``table`` lacks; rows with a null key go in either case."""
     keys = [key] if isinstance(key, str) else key
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    in_use = salted.groupBy(*keys, "_salt").agg(F.lit(1).alias("_one")).drop("_one").join(table, keys)
+    in_use = salted.groupBy(*keys, "_salt").agg(F.lit(1).alias("_one")).drop("_one").join(table, keys, how)
     return salted.join(in_use, [*keys, "_salt"]).drop("_salt")
 
 

@@ -13,6 +13,7 @@ import public_tokenizers
 from sourcinglens.llm.bpe import encode_decode
 from sourcinglens.llm.common import scratch_folder
 from sourcinglens.llm.exact_dedup import exact_dedup
+from sourcinglens.llm.filter_audit import ORACLE as AUDIT_ORACLE, filter_audit
 from sourcinglens.llm.html_extract import main_text
 from sourcinglens.llm.mixing import mix
 from sourcinglens.llm.ngram_join import jaccard_groups
@@ -95,3 +96,8 @@ def op9_substring_dedup(spark, sf_dir):
 @register("op10_ngram_jaccard")
 def op10_ngram_jaccard(spark, sf_dir):
     return jaccard_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@register("op12_filter_audit", AUDIT_ORACLE)
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
