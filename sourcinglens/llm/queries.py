@@ -15,6 +15,7 @@ from sourcinglens.llm.common import scratch_folder
 from sourcinglens.llm.exact_dedup import exact_dedup
 from sourcinglens.llm.filter_audit import ORACLE as AUDIT_ORACLE, filter_audit
 from sourcinglens.llm.html_extract import main_text
+from sourcinglens.llm.merkle import ORACLE as MERKLE_ORACLE, manifest
 from sourcinglens.llm.mixing import mix
 from sourcinglens.llm.ngram_join import jaccard_groups
 from sourcinglens.llm.pii import replace_private
@@ -98,6 +99,11 @@ def op10_ngram_jaccard(spark, sf_dir):
     return jaccard_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+@register("op11_merkle_manifest", MERKLE_ORACLE)
+def op11_merkle_manifest(spark, sf_dir):
+    return manifest(read_table(spark, sf_dir, "documents"))
+
+
 @register("op12_filter_audit", AUDIT_ORACLE)
 def op12_filter_audit(spark, sf_dir):
     return filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
