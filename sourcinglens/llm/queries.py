@@ -15,6 +15,7 @@ from sourcinglens.llm.common import scratch_folder
 from sourcinglens.llm.exact_dedup import exact_dedup
 from sourcinglens.llm.filter_audit import ORACLE as AUDIT_ORACLE, filter_audit
 from sourcinglens.llm.html_extract import main_text
+from sourcinglens.llm.lm_scoring import score
 from sourcinglens.llm.merkle import ORACLE as MERKLE_ORACLE, manifest
 from sourcinglens.llm.mixing import mix
 from sourcinglens.llm.ngram_join import jaccard_groups
@@ -107,3 +108,8 @@ def op11_merkle_manifest(spark, sf_dir):
 @register("op12_filter_audit", AUDIT_ORACLE)
 def op12_filter_audit(spark, sf_dir):
     return filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@register("op13_lm_scoring")
+def op13_lm_scoring(spark, sf_dir):
+    return score(read_table(spark, sf_dir, "documents"))
