@@ -46,10 +46,13 @@ def _first(html: Column, pattern: str) -> Column:
 
 
 def _complete(df: DataFrame) -> DataFrame:
-    """All FIELDS in order; what a page family lacks is '' or an empty list."""
+    """All FIELDS in order; what a page family lacks is '' or an empty list.
+    The country's normal form is taken of the finished column: its Arrow
+    function can't be planned over the expressions that find the cell."""
     have = set(df.columns)
     none = F.array().cast("array<string>")
-    return df.select(*[F.col(f) if f in have else (none if f in LISTS else F.lit(None).cast("int") if f == "yearEstablished" else F.lit("")).alias(f) for f in FIELDS])
+    out = df.select(*[F.col(f) if f in have else (none if f in LISTS else F.lit(None).cast("int") if f == "yearEstablished" else F.lit("")).alias(f) for f in FIELDS])
+    return out.withColumn("addressCountry", rc.normalise_country("addressCountry"))
 
 
 def label_value_records(pages: DataFrame, cells: dict[str, int] = CELLS) -> DataFrame:
@@ -63,7 +66,6 @@ def label_value_records(pages: DataFrame, cells: dict[str, int] = CELLS) -> Data
         F.split(raw["mainActivity"], r"<[^>]*>"), lambda t: F.trim(decode_entities(t))), lambda t: t != ""), ", ")
     out["keywords"] = rc.clean_keywords(F.array_join(F.filter(F.transform(
         F.split(unlinked["keywords"], r"<[^>]*>"), lambda t: F.trim(decode_entities(t))), lambda t: t != ""), "|"))
-    out["addressCountry"] = rc.normalise_country(out["addressCountry"])
     out["yearEstablished"] = rc.to_year(out["yearEstablished"])
     out["certifications"] = F.array_remove(F.array(out.pop("certification")), "")
     out["logoUrl"] = F.regexp_extract("html", r"""(?is)id\s*=\s*["']content2["'][^>]*>.*?<img\b[^>]*?\ssrc\s*=\s*["']([^"']*)["']""", 1)

@@ -64,8 +64,21 @@ def h8_document_links(spark, d):
     return dr.document_links(profiles(spark, d).where("origin = 'Europages'"))
 
 
+_H12 = {  # field: value on a label/value page, on a class-driven page
+    "streetAddress": ("s_address", "''"), "postalCode": ("'x'", "''"), "addressLocality": ("'x'", "''"), "addressRegion": ("'x'", "''"),
+    "addressCountry": ("n_name", "n_name"), "addressRaw": ("''", "concat(s_address, ';Town')"), "telephone": ("s_phone", "s_phone"),
+    "contactEmail": ("'x'", "''"), "website": ("'x'", "concat('http://s', s_suppkey, '.example')"),
+    "registrationNumber": ("'x'", "''"), "facilitySize": ("'x'", "''"), "yearEstablished": ("CAST(yr AS INTEGER)", "CAST(yr AS INTEGER)"),
+    "mainActivity": ("'Growing & trade, Export, more'", "''"), "vatId": ("''", "''"), "revenue": ("''", "''"), "employeesSite": ("''", "''"),
+    "keywords": ("'export|growing & trade'", "'Tea|Oil'"), "certifications": ("'x'", "''"), "brands": ("''", "'A & B|C'"), "incoterms": ("''", "''"),
+    "description": ("'x'", "''"), "logoUrl": ("''", "''")}
+_H12_SQL = ",\n ".join(f'CASE s_suppkey % 3 WHEN 0 THEN {a} WHEN 1 THEN {b} END AS "{f}"' for f, (a, b) in _H12.items())
+
+
 @register("H12_extract_by_origin", f"""{_ROWS}
 SELECT url, CASE s_suppkey % 3 WHEN 0 THEN 'Organicbio' WHEN 1 THEN 'Europages' ELSE 'Kompass' END AS origin,
- CASE WHEN s_suppkey % 3 < 2 THEN s_name END AS name, CASE WHEN s_suppkey % 3 = 2 THEN 'unknown origin' END AS reason FROM r""")
+ CASE WHEN s_suppkey % 3 < 2 THEN s_name END AS name, CASE WHEN s_suppkey % 3 = 2 THEN 'unknown origin' END AS reason,
+ {_H12_SQL} FROM r""")
 def h12_extract_by_origin(spark, d):
-    return dr.extract_by_origin(profiles(spark, d)).select("url", "origin", "name", "reason")
+    out = dr.extract_by_origin(profiles(spark, d))
+    return out.select(*[F.array_join(c, "|").alias(c) if c in dr.LISTS else c for c in (*dr.FIELDS, "reason")])
