@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcinglens.functions import urls
+from sourcinglens.session import cut_lineage
 
 # Fixed value: a page showing this block is a captcha wall.
 CAPTCHA_DIV = r"""<div[^>]*\sclass\s*=\s*["']alert alert-info["']"""
+BEHIND = "\x00\x00"           # no character of a text
+HANDS = 256                   # shares that suppliers are dealt into where every request gets all of them
 
 
 def is_nonempty(col: Column | str) -> Column:
@@ -39,9 +42,8 @@ def filter_suppliers(suppliers: DataFrame, requests: DataFrame, code_matches: Da
     or terms exist) AND website is not ''.  A NULL country list is an empty
     one; a request with no condition at all gets every supplier.
 
-    Codes are an equi-join.  Terms are one too: a supplier is indexed by its
-    distinct n-grams of up to three letters, a term looks up the one of its
-    n-grams that fewest suppliers have, and ``contains`` confirms.
+    Codes are an equi-join.  Terms are one too, over the n-grams of up to three
+    letters that terms and texts share (``_holders``).
     """
     sup = suppliers.select("_id", F.col("postalAddress.addressCountry").alias("country"),
                            F.lower(F.col("description")).alias("_desc"),
@@ -52,24 +54,15 @@ def filter_suppliers(suppliers: DataFrame, requests: DataFrame, code_matches: Da
     req_country = requests.select("request_id", F.explode("countries").alias("country")).distinct()
     no_country = requests.where(F.coalesce(F.size("countries"), F.lit(0)) <= 0).select("request_id")
 
-    codes = code_matches.select("request_id", "classification", "code")
+    codes = cut_lineage(code_matches.select("request_id", "classification", "code"))      # read twice, as are the terms
     sup_codes = sup.select("_id", F.explode("classifications").alias("classification", "codes")).select(
         "_id", "classification", F.explode("codes").alias("code"))
     by_code = sup_codes.join(codes, ["classification", "code"]).select("request_id", "_id").distinct()
 
-    t = terms.select("request_id", F.lower("term").alias("term")).where(F.length("term") > 0).distinct()
-    texts = sup.select("_id", F.explode(F.concat(F.coalesce("_kw", F.array().cast("array<string>")),
-                                                 F.array(F.coalesce("_desc", F.lit(""))))).alias("text"))
-    grams = texts.select("_id", F.explode(_ngrams(F.col("text"))).alias("gram")).distinct()
-    words = t.select("term").distinct()
-    of_word = words.select("term", F.explode(_ngrams(F.col("term"), longest_only=True)).alias("gram"))
-    held = grams.join(of_word.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
-    key = of_word.join(held, "gram", "left").groupBy("term").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).select("term", F.col("k.gram").alias("gram"))
-    hits = (grams.join(key, "gram").select("_id", "term").join(sup.select("_id", "_desc", "_kw"), "_id")
-            .where(F.coalesce(F.col("_desc").contains(F.col("term")), F.lit(False))
-                   | F.coalesce(F.exists("_kw", lambda k: k.contains(F.col("term"))), F.lit(False))))
-    by_term = hits.select("_id", "term").join(t, "term").select("request_id", "_id")
+    t = cut_lineage(terms.select("request_id", F.lower("term").alias("term")).where(F.length("term") > 0).distinct())
+    by_term = _holders(sup.select("_id", F.concat(F.coalesce("_kw", F.array().cast("array<string>")),
+                                                  F.array(F.coalesce("_desc", F.lit("")))).alias("texts")), "_id",
+                       t.select("term").distinct()).join(t, "term").select("request_id", "_id")
 
     matched = by_code.unionByName(by_term).distinct().join(place, "_id")
     has_or = codes.select("request_id").unionByName(t.select("request_id")).distinct()
@@ -77,21 +70,53 @@ def filter_suppliers(suppliers: DataFrame, requests: DataFrame, code_matches: Da
     in_country = matched.join(req_country, ["request_id", "country"], "left_semi").select("request_id", "_id")
     free = matched.join(no_country, "request_id", "left_semi").select("request_id", "_id")
     by_country = place.join(req_country.join(plain, "request_id", "left_semi"), "country").select("request_id", "_id")
-    # No condition: the result is requests x suppliers, so the rows are dealt by supplier.
-    every = plain.join(no_country, "request_id", "left_semi").agg(F.collect_set("request_id").alias("all"))
-    everything = place.select("_id").join(every).select(F.explode("all").alias("request_id"), "_id")
+    # No condition: the result is requests x suppliers.  Suppliers are dealt by a hash, the requests go to each hand.
+    every = plain.join(no_country, "request_id", "left_semi").select("request_id", F.explode(F.sequence(F.lit(0), F.lit(HANDS - 1))).alias("_hand"))
+    everything = place.select("_id", F.pmod(F.xxhash64("_id"), F.lit(HANDS)).cast("int").alias("_hand")).join(every, "_hand").select("request_id", "_id")
     return (in_country.unionByName(free).unionByName(by_country).unionByName(everything)).distinct()
 
 
 def _ngrams(text: Column, longest_only: bool = False) -> Column:
     """Distinct n-grams of up to three characters; ``longest_only``: those of
-    length min(3, length of the text), which any text that contains it has."""
-    def of(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
-        return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(n))))
-    if longest_only:
-        return F.when(F.length(text) >= 3, of(3)).when(F.length(text) == 2, of(2)).otherwise(of(1))
-    return F.array_distinct(F.concat(of(3), of(2), of(1)))
+    length min(3, length of the text), which any text that contains it has.
+    One pass over the text, whatever its length: shorter n-grams are the starts
+    of the longest ones of the text with two more characters behind it."""
+    def longest(x: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(F.concat(x, F.lit(BEHIND)), F.lit("(?s)(?=(...))"), F.lit(1)))
+
+    def real(grams: Column) -> Column:
+        return F.filter(F.array_distinct(grams), lambda g: ~F.contains(g, F.lit(BEHIND[0])))
+
+    def all_of(threes: Column) -> Column:
+        shorter = F.flatten(F.array(*[F.array_distinct(F.transform(threes, lambda g: F.left(g, F.lit(n)))) for n in (1, 2)]))
+        return real(F.concat(threes, shorter))
+
+    bound = F.transform(F.array(longest(text)), lambda threes: all_of(threes))
+    grams = F.get(bound, F.lit(0))
+    return F.filter(grams, lambda g: F.length(g) == F.least(F.lit(3), F.length(text))) if longest_only else grams
+
+
+def _holders(texts: DataFrame, key: str, terms: DataFrame) -> DataFrame:
+    """(key, term): rows of ``texts`` (key, array texts; one row per key) of which
+    a text contains the term.
+
+    The index holds the terms' own n-grams only.  A term's rarest n-gram gives
+    candidates, the index must have all of its others for them too, and only
+    then does ``contains`` read a text.
+    """
+    of_term = cut_lineage(terms.select("term", F.explode(_ngrams(F.col("term"), longest_only=True)).alias("gram")))
+    grams = F.array_distinct(F.flatten(F.transform("texts", lambda x: _ngrams(x))))
+    # Cutting texts is work for many tasks even where the texts are few megabytes.
+    texts = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    index = cut_lineage(texts.select(key, F.explode(grams).alias("gram")).join(of_term.select("gram").distinct(), "gram", "left_semi"))
+    held = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = of_term.join(held, "gram", "left").groupBy("term").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"), F.count("*").alias("wanted"))
+    found = cut_lineage(index.join(rarest, "gram").select(key, "term", "wanted"))
+    whole = found.join(of_term, "term").join(index, [key, "gram"], "left_semi").groupBy(key, "term", "wanted").agg(
+        F.count("*").alias("n")).where("n = wanted")
+    return whole.select(key, "term").join(texts, key).where(
+        F.exists("texts", lambda x: x.contains(F.col("term")))).select(key, "term")
 
 
 def project_supplier(df: DataFrame) -> DataFrame:
@@ -161,8 +186,7 @@ def expand_codes(codes: DataFrame, seeds: DataFrame, keywords: DataFrame | None
     contains its stem; distinct ``(request_id, classification, code, label)``.
 
     ``seeds``: (request_id, classification, code); ``keywords``/``stems``:
-    (request_id, word).  A word looks labels up by its rarest n-gram of up to
-    three letters, and ``contains`` confirms.
+    (request_id, word).  Words find labels as terms find suppliers in F1.
     """
     cb = codes.select("classification", "code", "label")
     wanted = seeds.select("request_id", "classification", "code")
@@ -170,17 +194,13 @@ def expand_codes(codes: DataFrame, seeds: DataFrame, keywords: DataFrame | None
     if parents:
         wanted = wanted.unionByName(wanted.where(F.length("code") == 7).withColumn("code", F.left("code", F.lit(5))))
     out = wanted.join(cb, ["classification", "code"]).select("request_id", "classification", "code", "label")
-    grams = cb.select("classification", "code", "label", F.explode(_ngrams(F.col("label"))).alias("gram"))
+    labels = cb.select("label").distinct().select("label", F.array("label").alias("texts"))
     for words in (keywords, stems):
         if words is None:
             continue
         w = words.select("request_id", "word").distinct()
-        of_word = w.select("word").distinct().select("word", F.explode(_ngrams(F.col("word"), longest_only=True)).alias("gram"))
-        held = grams.join(of_word.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
-        key = of_word.join(held, "gram", "left").groupBy("word").agg(
-            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).select("word", F.col("k.gram").alias("gram"))
-        hit = grams.join(key, "gram").where(F.col("label").contains(F.col("word"))).select("classification", "code", "label", "word")
-        found = hit.join(w, "word").join(seeded, ["request_id", "classification"], "left_semi")
+        hit = _holders(labels, "label", w.select(F.col("word").alias("term")).distinct()).select("label", F.col("term").alias("word"))
+        found = cb.join(hit, "label").join(w, "word").join(seeded, ["request_id", "classification"], "left_semi")
         out = out.unionByName(found.select("request_id", "classification", "code", "label"))
     return out.distinct()
 
