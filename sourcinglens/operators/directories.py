@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sourcinglens.functions import records as rc
 from sourcinglens.functions.urls import fix_double_scheme
+from sourcinglens.operators import elements as el
 from sourcinglens.operators.html import decode_entities
 
 # The cell of each field in a label/value profile (first is 0).
@@ -106,6 +107,44 @@ def document_links(pages: DataFrame) -> DataFrame:
         "part", r"""(?is)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']""", 1).alias("link"))
 
 
+# Fixed value: no further product page is read after this one.
+PRODUCT_PAGES = 31
+
+
+def product_lines(pages: DataFrame, key: str = "url") -> DataFrame:
+    """H7: (key, products): "name (detail)" of every product of a supplier, in
+    page order.  ``pages``: (key, page, html), page numbers from 1, one row each.
+
+    Reading stops after the first page without a next button behind its page
+    numbers, before a page that is missing, and after PRODUCT_PAGES pages.
+    Pages are reduced to their lines in the scan; only lines and one flag per
+    page, at most PRODUCT_PAGES of them, are gathered for a supplier.  A
+    supplier whose first page is missing has no row; an item without name and
+    detail is an empty line.
+    """
+    pieces = el.pieces_of(F.col("html"))
+    items = el.inner(pieces, lambda p: el.has_class(p, "products-list--item"))
+
+    def line(item: Column) -> Column:
+        cut = F.split(item, "(?=<)")
+        links = F.flatten(F.transform(el.inner(cut, lambda p: el.has_class(p, "ellipsis")), lambda e: el.inner(
+            F.split(e, "(?=<)"), lambda p: el.is_tag(p, "a"))))
+        detail = F.get(el.inner(cut, lambda p: el.has_class(p, "no-h")), F.lit(0))
+        return F.concat(F.coalesce(plain(F.get(links, F.lit(0))), F.lit("")),
+                        F.coalesce(F.concat(F.lit(" ("), plain(detail), F.lit(")")), F.lit("")))
+
+    more = el.bound(pieces, lambda p: F.exists(el.ranges(p, lambda x: el.has_class(x, "page")), lambda r: F.coalesce(
+        el.has_class(F.get(p, r["stop"] + 1), "prevnext"), F.lit(False))))
+    each = pages.where(F.col("page").between(1, PRODUCT_PAGES)).select(key, F.struct(
+        "page", F.transform(items, line).alias("lines"), more.alias("more")).alias("p"))
+    merged = each.groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    # Page k is reached if pages 1 to k - 1 are there and each of them has a next one.
+    reached = F.aggregate("ps", F.lit(0), lambda n, p: F.when(
+        (p["page"] == n + 1) & ((n == 0) | F.get(F.col("ps"), n - 1)["more"]), n + 1).otherwise(n))
+    read = merged.withColumn("n", reached).where("n > 0")
+    return read.select(key, F.flatten(F.transform(F.slice("ps", F.lit(1), F.col("n")), lambda p: p["lines"])).alias("products"))
+
+
 def extract_by_origin(pages: DataFrame) -> DataFrame:
     """Each page by its directory's extractor -> FIELDS and ``reason``:
     why there is no record ('unknown origin', 'no profile'), else NULL."""

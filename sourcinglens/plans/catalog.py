@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-MODULES = ("q_text", "q_relational", "q_html", "q_flow", "q_more", "q_sources", "q_directories")
+MODULES = ("q_text", "q_relational", "q_html", "q_flow", "q_more", "q_sources", "q_directories", "q_discovery")
 FAILED: dict[str, str] = {}
 
 

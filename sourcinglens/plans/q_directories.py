@@ -10,6 +10,17 @@ from sourcinglens.plans.catalog import register
 from sourcinglens.sources.tables import read_table
 
 
+def class_profile():
+    """The class-driven profile of a supplier row."""
+    return F.concat(
+        F.lit("<div class='page__layout'><h1 class='big company-content__company-name'> "), F.col("s_name"),
+        F.lit("</h1><i class='flag flag-1x fr'></i><span>"), F.col("n_name"), F.lit("</span><pre>"), F.col("s_address"),
+        F.lit("\nTown</pre><span class='js-num-tel js-hidden'>"), F.col("s_phone"),
+        F.lit("</span><a class='page-action' itemprop='url' href='http://http://S"), F.col("s_suppkey"), F.lit(".example'>w</a><ul class='organisation-list'><li><span>Year established</span> <span>"),
+        F.col("year"), F.lit("</span></li></ul><ul class='brand-list'><li>A &amp; B</li><li>C</li></ul><a class='keyword-tag'>Tea</a><a class='keyword-tag'>Oil</a>"
+                             "<li class='js-click-out'><span class='label'>Doc&nbsp;"), F.col("s_suppkey"), F.lit("</span><a href='/d.pdf'>get</a></li></div>"))
+
+
 def profiles(spark, d):
     """(url, origin, html): one profile per supplier, in its directory's form;
     every third is of an origin that has no extractor."""
@@ -21,16 +32,9 @@ def profiles(spark, d):
     cells = F.concat(*[F.concat(F.lit(f"<tr><th>L{i}</th>\n <td class='v'> "), F.col(values[i]) if i in values
                                 else F.lit("Growing &amp; trade<br>Export <a href='/x'>more</a>") if i in (10, 19)
                                 else F.lit("x"), F.lit("</td></tr>")) for i in range(24)])
-    by_class = F.concat(
-        F.lit("<div class='page__layout'><h1 class='big company-content__company-name'> "), F.col("s_name"),
-        F.lit("</h1><i class='flag flag-1x fr'></i><span>"), F.col("n_name"), F.lit("</span><pre>"), F.col("s_address"),
-        F.lit("\nTown</pre><span class='js-num-tel js-hidden'>"), F.col("s_phone"),
-        F.lit("</span><a class='page-action' itemprop='url' href='http://http://S"), k, F.lit(".example'>w</a><ul class='organisation-list'><li><span>Year established</span> <span>"),
-        F.col("year"), F.lit("</span></li></ul><ul class='brand-list'><li>A &amp; B</li><li>C</li></ul><a class='keyword-tag'>Tea</a><a class='keyword-tag'>Oil</a>"
-                             "<li class='js-click-out'><span class='label'>Doc&nbsp;"), k, F.lit("</span><a href='/d.pdf'>get</a></li></div>"))
     kind = k % 3
     return s.select("url", F.when(kind == 0, "Organicbio").when(kind == 1, "Europages").otherwise("Kompass").alias("origin"),
-                    F.when(kind == 0, F.concat(F.lit("<table>"), cells, F.lit("</table>"))).otherwise(by_class).alias("html"))
+                    F.when(kind == 0, F.concat(F.lit("<table>"), cells, F.lit("</table>"))).otherwise(class_profile()).alias("html"))
 
 
 _ROWS = """WITH r AS (SELECT s.*, n.n_name, concat('https://dir.example/', s_suppkey) AS url, 1900 + s_suppkey % 120 AS yr,
