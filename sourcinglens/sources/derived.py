@@ -23,40 +23,45 @@ def _sid(col: str) -> F.Column:
 
 
 def supplier_base(spark: SparkSession, d: str) -> DataFrame:
-    """(id, name, country, origin, website, description): one row per supplier."""
+    """(id, name, country, origin, website, description): one row per supplier.
+
+    Documents and pages are dealt to suppliers by their ids modulo the number
+    of suppliers (keys are 0, 1, ..): a description is all of a supplier's
+    documents, in id order, a website that of its first page.
+    """
     s = read_table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     n = read_table(spark, d, "nation").select("n_nationkey", "n_name")
-    docs = read_table(spark, d, "documents").select(F.col("doc_id"), F.col("text").alias("description"))
-    sites = read_table(spark, d, "pages").select(
-        F.col("page_id"), F.regexp_extract("url", SITE_RE, 1).alias("site"))
+    hands = F.lit(max(1, s.count()))
     k = F.col("s_suppkey")
+    docs = read_table(spark, d, "documents").groupBy((F.col("doc_id") % hands).alias("_dealt")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("description"))
+    sites = read_table(spark, d, "pages").groupBy((F.col("page_id") % hands).alias("_dealt")).agg(
+        F.min_by(F.regexp_extract("url", SITE_RE, 1), "page_id").alias("site"))
     return (s.join(n, s.s_nationkey == n.n_nationkey)
-            .join(docs, docs.doc_id == k, "left")
-            .join(sites, sites.page_id == k, "left")
+            .join(docs, docs["_dealt"] == k, "left")
+            .join(sites, sites["_dealt"] == k, "left")
             .select(_sid("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("n_name").alias("country"),
                     F.when(k % 3 == 0, "Organicbio").when(k % 3 == 1, "Europages").otherwise("Kompass").alias("origin"),
                     F.when(k % 7 == 0, F.lit("")).otherwise(F.col("site")).alias("website"),
                     "description"))
 
 
-def _big_orders(spark: SparkSession, d: str, line: int) -> DataFrame:
-    li = read_table(spark, d, "lineitem").where((F.col("l_quantity") > 48) & (F.col("l_linenumber") == line))
-    part = read_table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return li.select("l_suppkey", "l_partkey").join(part, li.l_partkey == part.p_partkey)
+def _supplied(spark: SparkSession, d: str, column: str) -> DataFrame:
+    """(id, value): distinct values of a part column over all of a supplier's lineitems."""
+    lines = read_table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    part = read_table(spark, d, "part").select("p_partkey", F.col(column).alias("value"))
+    return lines.join(part, lines.l_partkey == part.p_partkey).select(_sid("l_suppkey").alias("id"), "value").distinct()
 
 
 def supplier_code(spark: SparkSession, d: str) -> DataFrame:
     """(id, classification, code): Kompass codes from brands, SIC from types."""
-    kompass = _big_orders(spark, d, 1).select(_sid("l_suppkey").alias("id"), F.lit("Kompass").alias("classification"),
-                                              F.col("p_brand").alias("code")).distinct()
-    sic = _big_orders(spark, d, 2).select(_sid("l_suppkey").alias("id"), F.lit("SIC").alias("classification"),
-                                          F.col("p_type").alias("code")).distinct()
-    return kompass.unionAll(sic)
+    kompass = _supplied(spark, d, "p_brand").select("id", F.lit("Kompass").alias("classification"), F.col("value").alias("code"))
+    return kompass.unionAll(_supplied(spark, d, "p_type").select("id", F.lit("SIC").alias("classification"), F.col("value").alias("code")))
 
 
 def supplier_keyword(spark: SparkSession, d: str) -> DataFrame:
     """(id, keyword)."""
-    return _big_orders(spark, d, 3).select(_sid("l_suppkey").alias("id"), F.col("p_name").alias("keyword")).distinct()
+    return _supplied(spark, d, "p_name").select("id", F.col("value").alias("keyword"))
 
 
 def industry_code(spark: SparkSession, d: str) -> DataFrame:

@@ -17,16 +17,18 @@ SELECT concat('sup-', CAST(s.s_suppkey AS VARCHAR(20))) AS id, s.s_name AS name,
  CASE s.s_suppkey % 3 WHEN 0 THEN 'Organicbio' WHEN 1 THEN 'Europages' ELSE 'Kompass' END AS origin,
  CASE WHEN s.s_suppkey % 7 = 0 THEN '' ELSE p.site END AS website, d.text AS description
 FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
-LEFT JOIN documents d ON d.doc_id = s.s_suppkey
-LEFT JOIN (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site FROM pages) p ON p.page_id = s.s_suppkey""",
+LEFT JOIN (SELECT doc_id % (SELECT count(*) FROM supplier) AS dealt, string_agg(text, chr(10) ORDER BY doc_id) AS text
+ FROM documents GROUP BY 1) d ON d.dealt = s.s_suppkey
+LEFT JOIN (SELECT page_id % (SELECT count(*) FROM supplier) AS dealt, arg_min(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1), page_id) AS site
+ FROM pages GROUP BY 1) p ON p.dealt = s.s_suppkey""",
     "supplier_code": """
 SELECT DISTINCT concat('sup-', CAST(l_suppkey AS VARCHAR(20))) AS id, 'Kompass' AS classification, p_brand AS code
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48 AND l_linenumber = 1
+FROM lineitem JOIN part ON l_partkey = p_partkey
 UNION ALL SELECT DISTINCT concat('sup-', CAST(l_suppkey AS VARCHAR(20))), 'SIC', p_type
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48 AND l_linenumber = 2""",
+FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "supplier_keyword": """
 SELECT DISTINCT concat('sup-', CAST(l_suppkey AS VARCHAR(20))) AS id, p_name AS keyword
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48 AND l_linenumber = 3""",
+FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "industry_code": """
 SELECT 'Kompass' AS classification, p_brand AS code, min(p_name) AS label,
  CASE WHEN count(*) % 2 = 0 THEN 1 ELSE 0 END AS relevant FROM part GROUP BY p_brand
