@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sourcinglens.session import cut_lineage
 from sourcinglens.operators.filters import is_nonempty, map_nonempty
 from sourcinglens.operators.joins import label_codes
 
@@ -116,3 +117,44 @@ def listing_page_count(pager: DataFrame) -> DataFrame:
     ``pager``: (url, value) rows of the pager elements (from ``select_text``)."""
     num = F.when(F.col("value").rlike(r"^[0-9]+$"), F.col("value").try_cast("int"))
     return pager.groupBy("url").agg(F.greatest(F.lit(1), F.coalesce(F.max(num), F.lit(1))).alias("max_pages"))
+
+
+def statistics(df: DataFrame, codes: DataFrame, classifications: Sequence[str], countries: Sequence[str] = (),
+               k: int = 10) -> DataFrame:
+    """A1 to A5 from one scan: (statistic, origin, classification, code,
+    value_key, country, label, count, part, rank).
+
+    Each supplier gives one short list of entries, an entry naming the keys of
+    the one statistic that it counts for; a single aggregation, combined on the
+    map side, counts them all.  ``part``: the suppliers inside ``countries``
+    (total), with classifications (origin), with a value (classification).
+    Origins without any classification have no classification rows; codes are
+    ranked and cut as in A4.
+    """
+    inside = F.coalesce(_country(df).isin(list(countries)), F.lit(False)) if countries else F.lit(True)
+    keys = ("statistic", "origin", "classification", "code", "value_key", "country")
+
+    def entry(statistic: str, part: Column, **named: Column) -> Column:
+        return F.struct(F.lit(statistic).alias("statistic"), *[named.get(c, F.lit(None)).cast("string").alias(c) for c in keys[1:]],
+                        F.coalesce(part, F.lit(False)).alias("part"))
+
+    values = F.col("classifications")
+    covered = [entry("classification", is_nonempty(F.try_element_at(values, F.lit(c))), origin=F.col("origin"), classification=F.lit(c))
+               for c in classifications]
+    full = F.filter(F.coalesce(F.map_entries(values), F.array().cast("array<struct<key:string,value:array<string>>>")), lambda e: is_nonempty(e["value"]))
+    counted = F.flatten(F.transform(full, lambda e: F.when(e["key"] == KOMPASS, F.transform(
+        e["value"], lambda v: entry("code", F.lit(True), classification=e["key"], code=v))).otherwise(F.array(
+            entry("code", F.lit(True), classification=e["key"], code=F.element_at(e["value"], 1), value_key=F.array_join(e["value"], ","))))))
+    of_all = F.array(entry("total", inside), entry("country", F.lit(True), country=_country(df)))
+    of_inside = F.concat(F.array(entry("origin", map_nonempty("classifications"), origin=F.col("origin")), *covered), counted)
+    entries = df.select(F.explode(F.concat(of_all, F.when(inside, of_inside).otherwise(F.slice(of_inside, 1, 0)))).alias("e")).select("e.*")
+    counts = cut_lineage(entries.groupBy(*keys).agg(F.count("*").alias("count"), F.count_if("part").alias("part")))
+
+    known = counts.where("statistic = 'origin' AND part > 0").select("origin")
+    others = counts.where("statistic IN ('total', 'origin', 'country')").unionByName(
+        counts.where("statistic = 'classification'").join(known, "origin", "left_semi"))
+    found = label_codes(counts.where("statistic = 'code'"), codes).where(~F.col("found") | (F.col("relevant") == 1))
+    w = Window.partitionBy("classification").orderBy(F.col("count").desc(), F.col("code"), F.col("value_key"))
+    top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    none = {"label": F.lit(None).cast("string"), "rank": F.lit(None).cast("int")}
+    return others.withColumns(none).unionByName(top.select(*others.columns, *none))

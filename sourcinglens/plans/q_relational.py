@@ -246,6 +246,31 @@ def a5_suppliers_by_country(spark, d):
     return st.suppliers_by_country(dv.suppliers(spark, d))
 
 
+@register("P4_supplier_statistics", with_ctes(["supplier_base", "supplier_code", "industry_code"], f""",
+b AS (SELECT * FROM supplier_base WHERE country IN {STAT_COUNTRIES}),
+sc AS (SELECT * FROM supplier_code WHERE id IN (SELECT id FROM b)),
+vals AS (SELECT classification, NULL::VARCHAR AS value_key, code FROM sc WHERE classification = 'Kompass'
+  UNION ALL SELECT classification, string_agg(code, ',' ORDER BY code), min(code) FROM sc WHERE classification <> 'Kompass' GROUP BY id, classification),
+cnt AS (SELECT classification, value_key, code, count(*) AS n FROM vals GROUP BY ALL),
+kept AS (SELECT c.*, i.label FROM cnt c LEFT JOIN industry_code i ON i.classification = c.classification AND i.code = c.code
+  WHERE i.code IS NULL OR i.relevant = 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY classification ORDER BY n DESC, code, value_key NULLS FIRST) AS rank FROM kept),
+o AS (SELECT origin, count(*) AS n, count(*) FILTER (WHERE id IN (SELECT id FROM sc)) AS part FROM b GROUP BY origin),
+long(statistic, origin, classification, code, value_key, country, label, count, part, rank) AS (
+ SELECT 'total', NULL, NULL, NULL, NULL, NULL, NULL, count(*), count(*) FILTER (WHERE country IN {STAT_COUNTRIES}), NULL FROM supplier_base
+ UNION ALL SELECT 'origin', origin, NULL, NULL, NULL, NULL, NULL, n, part, NULL FROM o
+ UNION ALL SELECT 'classification', b.origin, c.classification, NULL, NULL, NULL, NULL, count(*), count(*) FILTER (WHERE EXISTS (
+   SELECT 1 FROM sc x WHERE x.id = b.id AND x.classification = c.classification)), NULL
+   FROM b CROSS JOIN (SELECT unnest(['Kompass', 'SIC', 'NACE']) AS classification) c
+   WHERE b.origin IN (SELECT origin FROM o WHERE part > 0) GROUP BY b.origin, c.classification
+ UNION ALL SELECT 'code', NULL, classification, code, value_key, NULL, label, n, n, rank FROM rk WHERE rank <= 10
+ UNION ALL SELECT 'country', NULL, NULL, NULL, NULL, country, NULL, count(*), count(*), NULL FROM supplier_base GROUP BY country)
+SELECT statistic, origin, classification, code, value_key, country, label, CAST(count AS BIGINT) AS count, CAST(part AS BIGINT) AS part,
+ CAST(rank AS INTEGER) AS rank FROM long"""))
+def p4_supplier_statistics(spark, d):
+    return st.statistics(dv.suppliers(spark, d), dv.industry_code(spark, d), ["Kompass", "SIC", "NACE"], STAT_COUNTRIES)
+
+
 @register("A6_website_probability", with_ctes(["supplier_base"], r"""
 , w AS (SELECT id AS _id, website AS url, origin,
   CASE WHEN starts_with(website, 'www.') THEN regexp_replace(website, '^www\.', '')

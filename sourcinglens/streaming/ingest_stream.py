@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,14 @@ def page_records(batch: DataFrame) -> DataFrame:
     return batch.select(F.col("url").alias("_id"), "url", F.size(visible_tokens("html")).alias("n_tokens"))
 
 
+def supplier_records(batch: DataFrame) -> DataFrame:
+    """Supplier records (H12) of arriving profile pages (url, origin, html);
+    pages of unknown origin and pages without a profile give none."""
+    from sourcinglens.operators.directories import extract_by_origin
+    found = extract_by_origin(batch.select("url", "origin", "html"))
+    return found.where("reason IS NULL").drop("reason").withColumn("_id", F.col("url"))
+
+
 def ingest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, table_path: str,
                   checkpoint_dir: str, to_records: Callable[[DataFrame], DataFrame] = page_records,
                   fmt: str = "parquet"):
@@ -33,7 +42,9 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, ta
         recs = to_records(batch)
         try:
             existing = batch.sparkSession.read.parquet(table_path).select("_id")
-        except Exception:  # noqa: BLE001 - first batch: nothing stored yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":           # only a table that isn't there yet counts as empty
+                raise
             existing = batch.sparkSession.createDataFrame([], "_id string")
         insert_if_absent(recs, existing).write.mode("append").parquet(table_path)
 
