@@ -1,5 +1,5 @@
 """Queries of operators that other modules only use inside a flow: J5, J9, A8,
-U2, T11, R7, M4 and the wide statistics of P4."""
+U2, T11, R7, M4 and M5."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from sourcinglens.operators import joins as jn
 from sourcinglens.operators import stats as st
 from sourcinglens.operators.linkage import best_domain
 from sourcinglens.plans.catalog import register
-from sourcinglens.plans.q_html import _DOMAIN_SQL, resolve_sql
+from sourcinglens.plans.q_html import _DOMAIN_SQL, resolve_sql, visible_tokens_sql
 from sourcinglens.sources import derived as dv
 from sourcinglens.sources.fixture_sql import token_rows_sql, with_ctes
 from sourcinglens.sources.tables import read_table
@@ -134,3 +134,19 @@ FROM asked a JOIN per p ON p.request_id = a.request_id AND p.site = a.website"""
 def m4_assemble_shortlist(spark, d):
     out = ig.assemble_shortlist(jn.suppliers_with_hits(asked_suppliers(spark, d), result_lists(spark, d)))
     return out.drop("subDomains")
+
+
+@register("M5_supplier_text", f"""
+WITH p AS (SELECT concat('q', page_id % (SELECT count(*) FROM supplier)) AS mongo_id, page_id, url, html FROM pages),
+c AS (SELECT *, row_number() OVER (PARTITION BY mongo_id ORDER BY md5(concat(url, '|42')), url) AS r FROM p),
+t AS (SELECT mongo_id, page_id, {visible_tokens_sql('html')} AS tokens FROM c WHERE r <= 2)
+SELECT mongo_id, CAST(sum(len(tokens)) AS INTEGER) AS n_tokens,
+ md5(string_agg(array_to_string(tokens, ' '), ' ' ORDER BY page_id) FILTER (WHERE len(tokens) > 0)) AS text_md5 FROM t GROUP BY mongo_id""")
+def m5_supplier_text(spark, d):
+    """Two pages of every supplier's list, in list order; pages are dealt to suppliers by id."""
+    hits = company_hits(spark, d)
+    lists = hits.groupBy(F.col("request_id").alias("mongo_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "link"))), lambda x: x["link"]).alias("subDomains"))
+    pages = read_table(spark, d, "pages").select("url", "html")
+    out = ig.supplier_text(lists, pages, ["mongo_id"], max_pages=2)
+    return out.select("mongo_id", F.size("text").alias("n_tokens"), F.md5(F.array_join("text", " ").cast("binary")).alias("text_md5"))
