@@ -95,3 +95,14 @@ def test_filter_suppliers_long_text(spark):
     terms = spark.createDataFrame([("r1", "ünïque😀word"), ("r2", "z"), ("r3", "nc"), ("r4", "absent word"), ("x", "lorem ips")], "request_id string, term string")
     got = {(r.request_id, r._id) for r in fl.filter_suppliers(sup, requests, codes, terms).collect()}
     assert got == {("r1", "a"), ("r2", "a"), ("r2", "b"), ("r3", "b"), ("r5", "c"), ("none", "a"), ("none", "b"), ("none", "c")}
+
+
+def test_every_field_of_both_page_families(spark):
+    """All fields can be selected, and both families normalise the country."""
+    from sourcinglens.operators.directories import extract_by_origin
+    cells = "".join(f"<tr><th>l</th><td> {'USA' if i == 5 else 1999 if i == 17 else f'v{i}'}</td></tr>" for i in range(24))
+    by_class = "<h1 class='company-content__company-name'>N</h1><i class='flag-1x'></i><span>USA</span>"
+    pages = spark.createDataFrame([("a", "Organicbio", f"<table>{cells}</table>"), ("b", "Europages", by_class), ("c", "x", "")], "url string, origin string, html string")
+    got = {r.url: r for r in extract_by_origin(pages).select(*FIELDS, "reason").collect()}
+    assert {u: got[u].addressCountry for u in got} == {"a": "United States", "b": "United States", "c": None}
+    assert (got["a"].name, got["a"].yearEstablished, got["a"].certifications) == ("v0", 1999, ["v15"]) and got["c"].reason == "unknown origin"
