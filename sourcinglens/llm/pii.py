@@ -38,18 +38,25 @@ TITLED = rf"\b(?:{TITLE})\.? ({NAME})"
 INITIAL = r"^(?:\p{Lu}|(?:\p{Lu}\.)+)$"
 _KEY = r"(?i:token|api[_-]?key|secret|password|passwd|pwd|key)[\"']? ?[=:] ?"
 _EDGE, _END = r"(?<![\p{L}\p{N}_.])", r"(?![\p{L}\p{N}_]|\.\d)"
+_LOCAL = r"[\p{L}\p{N}._%+-]"
 
+# Each pattern opens with what one character tells, so that at most places of a
+# text nothing else is tried: an address is only looked for from the start of
+# its run (or where the last match ended), a key word only behind a quote, = or
+# :, a title only between a space and a capital.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
-    "secret": rf"(?<={_KEY}[\"'])[A-Za-z0-9_/+=.-]{{8,}}(?=[\"'])|(?<={_KEY})(?=[A-Za-z_/+=.-]*\d)[A-Za-z0-9_/+=.-]{{8,}}",
+    "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@(?:[\p{{L}}\p{{N}}-]+\.)+\p{{L}}{{2,}}",
+    "secret": rf"(?<=[\"'])(?<={_KEY}[\"'])[A-Za-z0-9_/+=.-]{{8,}}(?=[\"'])"
+              rf"|(?<=[=:]|[=:] )(?<={_KEY})(?=[A-Za-z_/+=.-]*\d)[A-Za-z0-9_/+=.-]{{8,}}",
     "ip": _EDGE + r"(?:\d{1,3}\.){3}\d{1,3}" + _END,
     "ssn": _EDGE + r"\d{3}-\d{2}-\d{4}" + _END,
     "card": _EDGE + r"(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})" + _END,
     "phone": r"(?<![\p{L}\p{N}_+])(?:(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}"
              r"|0\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}|0\d(?:[ .-]\d{2}){4})(?!\d|\.\d)",
-    "name": rf"(?<=\b(?:{TITLE})\.? ){NAME}",
+    "name": rf"(?<= )(?=\p{{Lu}})(?<=\b(?:{TITLE})\.? ){NAME}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "ssn", "card", "phone"))
+ANY = rf"(?:{PATTERNS['email']})|(?:{PATTERNS['secret']})|(?=[+(\d])(?:{_NUMBERS})|(?:{PATTERNS['name']})"
 
 #: Letters a surrogate is drawn from, by the letters it stands for.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäçèéêëíîïñóôöùúûü",
@@ -188,20 +195,28 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     base = pick(docs, doc_id=id_col, text=text_col)
     # Words of a document's titled names are entities wherever they stand in it.
     titled = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(TITLED), F.lit(1)), lambda m: F.split(m, " ")))
-    base = base.withColumn("bare", F.when(F.col("text").rlike(TITLE), F.array_distinct(F.filter(titled, lambda w: ~w.rlike(INITIAL)))))
+    base = base.withColumn("bare", F.when(F.col("text").rlike(rf"\b(?:{TITLE})\.? \p{{Lu}}"),
+                                          F.array_distinct(F.filter(titled, lambda w: ~w.rlike(INITIAL)))))
     word = F.concat(F.lit("(?:"), F.array_join("bare", "|"), F.lit(")"))
-    pattern = F.when(F.size("bare") > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}_])"), word, F.lit("(?: "), word, F.lit(r")*(?![\p{L}\p{N}_])"))).otherwise(ANY)
-    found = F.transform(F.regexp_extract_all("text", pattern, F.lit(0)),
-                        lambda m: F.struct(m.alias("found"), kind_of(m).alias("kind")))
-    rows = base.withColumn("found", F.when(F.col("text").rlike(rf"[@0-9\"']|{TITLE}"), found))
+    # Only texts with a titled name have a pattern of their own; the others share one, compiled once.
+    own = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}_])"), word, F.lit("(?: "), word, F.lit(r")*(?![\p{L}\p{N}_])"))
+    named_here = F.size("bare") > 0
+
+    def kinds(matches: Column) -> Column:
+        return F.transform(matches, lambda m: F.struct(m.alias("found"), kind_of(m).alias("kind")))
+
+    found = F.when(named_here, kinds(F.regexp_extract_all("text", own, F.lit(0)))).otherwise(
+        kinds(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    pieces = F.when(named_here, F.split("text", own)).otherwise(F.split("text", ANY))
+    rows = base.withColumn("found", found)
     any_found = F.coalesce(F.exists("found", lambda m: m["kind"].isNotNull()), F.lit(False))
     clean = rows.where(~any_found).select("doc_id", "text", F.lit(0).alias("n_entities"), F.lit("").alias("kinds"))
-    hit = rows.where(any_found).select("doc_id", "text", F.sha2("text", 256).alias("digest"), "bare", "found")
+    # Cut here: the texts with entities are looked through once, and kept as matches and what lies between them.
+    hit = cut(rows.where(any_found).select("doc_id", F.sha2("text", 256).alias("digest"), "found", pieces.alias("pieces")))
 
     # Names are entities by word: family and given names are known on their own.
     gender = F.when(F.regexp_extract("before", rf"(?:\b(?:{FEMALE}))\.? $", 0) != "", "female").otherwise("male")
-    pieces = F.split("text", pattern)
-    spots = cut(hit.dropDuplicates(["digest"]).select("digest", F.posexplode("found").alias("pos", "m"), pieces.alias("pieces"))
+    spots = cut(hit.dropDuplicates(["digest"]).select("digest", F.posexplode("found").alias("pos", "m"), "pieces")
                 .select("digest", "pos", F.col("m.found").alias("found"), F.col("m.kind").alias("kind"),
                         F.get("pieces", F.col("pos")).alias("before"))
                 .where("kind IS NOT NULL").withColumn("gender", F.when(F.col("kind") == "name", gender))
@@ -233,5 +248,5 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
 
     whole = spread_join(hit, by_text, "digest", "doc_id")
     whole = whole.withColumn("said", F.transform("found", lambda m, i: F.coalesce(F.try_element_at("new", i), m["found"])))
-    text = F.concat_ws("", F.transform(F.split("text", pattern), lambda p, i: F.concat(p, F.coalesce(F.get("said", i), F.lit("")))))
+    text = F.concat_ws("", F.transform("pieces", lambda p, i: F.concat(p, F.coalesce(F.get("said", i), F.lit("")))))
     return clean.unionByName(whole.select("doc_id", text.alias("text"), "n_entities", "kinds"))
