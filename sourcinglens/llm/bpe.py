@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,27 +32,39 @@ from sourcinglens.llm.chunks import ChunkCache, Recent
 from sourcinglens.llm.common import pick
 
 LONG = 1024                   # bytes of a piece
-AT_ONCE = 400_000             # bytes of pieces in one recursive query
+AT_ONCE = 2_000_000           # rows that the steps of one recursive query may add up to
+CACHED = 30_000_000           # bytes of each cache of a worker
 
+# Rows know their right neighbour (npos, ntok), so a step needs no sorting: the
+# best pair of a word changes its left row, the row before it and no other.
+# A word's rows are copied once more, not live, when none of its pairs merges.
 CONTRACT = """
 WITH RECURSIVE t AS (
-  SELECT 0 AS step, w, pos, tok FROM token_rows
+  SELECT w, pos, tok, npos, ntok, true AS live FROM token_rows
   UNION ALL
-  (WITH p AS (SELECT step, w, pos, tok, lead(tok) OVER o AS nxt, lead(pos) OVER o AS npos
-              FROM t WINDOW o AS (PARTITION BY w ORDER BY pos)),
-   best AS (SELECT p.w, min(m.tok::BIGINT * 1048576 + p.pos) AS at,
-                   arg_min(p.npos, m.tok::BIGINT * 1048576 + p.pos) AS gone
-            FROM p JOIN merges m ON m.l = p.tok AND m.r = p.nxt GROUP BY p.w)
-   SELECT p.step + 1, p.w, p.pos, CASE WHEN p.pos = best.at % 1048576 THEN (best.at // 1048576)::INTEGER ELSE p.tok END
-   FROM p JOIN best ON best.w = p.w WHERE p.pos <> best.gone)),
-done AS (SELECT w, max(step) AS step FROM t GROUP BY w)
-SELECT t.w, t.pos, t.tok FROM t JOIN done ON t.w = done.w AND t.step = done.step"""
+  (WITH pairs AS (SELECT t.w, t.npos, m.tok::BIGINT * 1048576 + t.pos AS score
+                  FROM t JOIN merges m ON m.l = t.tok AND m.r = t.ntok WHERE t.live),
+   best AS (SELECT w, min(score) % 1048576 AS left_pos, (min(score) // 1048576)::INTEGER AS merged, arg_min(npos, score) AS gone
+            FROM pairs GROUP BY w),
+   now AS (SELECT t.w, t.pos, t.tok, t.npos, t.ntok, best.left_pos, best.merged, best.gone
+           FROM t LEFT JOIN best ON best.w = t.w WHERE t.live),
+   beyond AS (SELECT w, npos, ntok FROM now WHERE pos = gone)
+   SELECT now.w, now.pos, CASE WHEN now.pos = left_pos THEN merged ELSE now.tok END,
+          CASE WHEN now.pos = left_pos THEN beyond.npos ELSE now.npos END,
+          CASE WHEN now.pos = left_pos THEN beyond.ntok WHEN now.npos = left_pos THEN merged ELSE now.ntok END, gone IS NOT NULL
+   FROM now LEFT JOIN beyond ON beyond.w = now.w AND now.pos = left_pos WHERE gone IS NULL OR now.pos <> gone))
+SELECT w, pos, tok FROM t WHERE NOT live"""
 
 DECODE = """
-SELECT string_agg(i.tok::VARCHAR, ',' ORDER BY i.pos) AS ids, string_agg(v.hex, '' ORDER BY i.pos) AS hex
+SELECT string_agg(v.hex, '' ORDER BY i.pos) AS hex
 FROM id_rows i JOIN vocabulary v ON v.tok = i.tok GROUP BY i.w ORDER BY i.w"""
 
 
+def _bytes(key: bytes | str) -> int:
+    """What a cache entry of this key takes at most: objects, ids, bytes."""
+    return 250 + 8 * len(key)
+
+
 class Bpe:
     """Encoder and decoder of one rank file (base64 token, space, rank)."""
 
@@ -62,11 +75,11 @@ class Bpe:
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         rows = [(a, b, r) for t, r in self.ranks.items() for i in range(1, len(t))
                 if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self._table("merges", dict(zip(("l", "r", "tok"), np.array(rows, np.int32).T, strict=True)))
         self._table("vocabulary", {"tok": np.array(list(self.ranks.values()), np.int32), "hex": [t.hex() for t in self.ranks]})
-        self.pieces = Recent(self._pieces, 800_000)
-        self.cache = ChunkCache(self._chunks, 800_000)
+        self.pieces = Recent(self._pieces, CACHED, _bytes)
+        self.cache = ChunkCache(self._chunks, CACHED, _bytes)
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("_new", pa.table({k: pa.array(v) for k, v in columns.items()}))
@@ -85,9 +98,12 @@ class Bpe:
         lengths = np.array([len(p) for p in pieces])
         starts = np.cumsum(lengths) - lengths
         data = np.frombuffer(b"".join(pieces), np.uint8)
-        return self._ask("token_rows", {
-            "w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths),
-            "pos": (np.arange(len(data)) - np.repeat(starts, lengths)).astype(np.int32), "tok": self.of_byte[data]}, CONTRACT)
+        pos = (np.arange(len(data)) - np.repeat(starts, lengths)).astype(np.int32)
+        tok = self.of_byte[data]
+        right = np.append(tok[1:], np.int32(-1))
+        right[starts + lengths - 1] = -1
+        return self._ask("token_rows", {"w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "pos": pos, "tok": tok,
+                                        "npos": pos + 1, "ntok": right}, CONTRACT)
 
     def _heap(self, piece: bytes) -> list[int]:
         """The same merges for one long piece, neighbours as linked positions."""
@@ -116,9 +132,12 @@ class Bpe:
         return out
 
     def decode(self, id_rows: pa.Table) -> list[tuple[str, bytes]]:
-        """Of each number w: its ids, joined by commas, and their bytes."""
-        got = self._ask("id_rows", id_rows, DECODE)
-        return [(f",{i}", bytes.fromhex(h)) for i, h in zip(got.column("ids").to_pylist(), got.column("hex").to_pylist(), strict=True)]
+        """Of each number w (0, 1, ...): its ids, joined by commas, and their bytes."""
+        hexes = self._ask("id_rows", id_rows, DECODE).column("hex").to_pylist()
+        w, pos, tok = (id_rows.column(c).to_numpy() for c in ("w", "pos", "tok"))
+        ids = pa.array(tok[np.lexsort((pos, w))]).cast(pa.string())
+        lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(w))).astype(np.int32), ids)
+        return [(f",{i}", bytes.fromhex(h)) for i, h in zip(pc.binary_join(lists, ",").to_pylist(), hexes, strict=True)]
 
     def _pieces(self, pieces: list[bytes]) -> list[tuple[str, bytes]]:
         """Of each piece: its ids as text (",1,2") and the bytes they decode to."""
@@ -132,7 +151,7 @@ class Bpe:
                 groups.append([])
                 size = 0
             groups[-1].append(p)
-            size += len(p)
+            size += len(p) * (len(p) + 1) // 2 + len(p)
         if ready:
             ids = [[self.ranks[p]] if p in self.ranks else self._heap(p) for p in ready]
             rows = [(w, pos, tok) for w, i in enumerate(ids) for pos, tok in enumerate(i)]

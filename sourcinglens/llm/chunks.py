@@ -4,8 +4,8 @@ Byte-level BPE never merges across a single space that stands between two
 other characters: the split pattern always starts a new match at such a space.
 A text can so be cut there, and whatever a tokenizer gives for the chunks, one
 after the other, is what it gives for the text.  Chunks repeat far more often
-than texts, so each worker keeps the answers of chunks it has seen (at most
-``cap`` of them, the ones not used lately go first).
+than texts, so each worker keeps the answers of chunks it has seen (up to ``cap``,
+the ones not used lately go first).
 """
 
 from __future__ import annotations
@@ -29,31 +29,34 @@ def parts(text: str) -> list[str]:
 
 class Recent:
     """Answers by key, the ones used lately: two generations of ``cap`` / 2.
-    ``solve`` maps a list of keys to their answers, in order."""
+    ``solve`` maps a list of keys to their answers, in order; ``weigh`` gives
+    what an entry adds towards ``cap`` (one, if there is none)."""
 
-    def __init__(self, solve: Callable[[list], list], cap: int):
-        self.solve, self.cap = solve, cap
+    def __init__(self, solve: Callable[[list], list], cap: int, weigh: Callable | None = None):
+        self.solve, self.cap, self.weigh = solve, cap, weigh
         self.young: dict = {}
         self.old: dict = {}
+        self.weight = 0
 
     def hold(self, keys: set) -> dict:
         """A mapping that has every one of ``keys``, until the next call."""
-        if len(self.young) > self.cap // 2:
-            self.old, self.young = self.young, {}
+        if self.weight > self.cap // 2:
+            self.old, self.young, self.weight = self.young, {}, 0
         new = keys - self.young.keys()
         missing = sorted(new - self.old.keys())
         self.young.update((k, self.old[k]) for k in new & self.old.keys())
         if missing:
             self.young.update(zip(missing, self.solve(missing), strict=True))
+        self.weight += sum(map(self.weigh, new)) if self.weigh else len(new)
         return self.young
 
 
 class ChunkCache:
     """``solve`` maps a list of chunks to their answers, in order."""
 
-    def __init__(self, solve: Callable[[list[str]], list], cap: int = 400_000):
-        self.heads = Recent(solve, cap // 8)                                        # chunks as they are
-        self.rest = Recent(lambda keys: solve([f" {k}" for k in keys]), cap)        # after their leading space
+    def __init__(self, solve: Callable[[list[str]], list], cap: int = 400_000, weigh: Callable | None = None):
+        self.heads = Recent(solve, cap // 8, weigh)                                        # chunks as they are
+        self.rest = Recent(lambda keys: solve([f" {k}" for k in keys]), cap, weigh)        # after their leading space
 
     def answers(self, texts: list[str], chars: int = 1_000_000) -> Iterator[list]:
         """One list of chunk answers per text; ``chars`` of text at a time."""
