@@ -33,7 +33,7 @@ from sourcinglens.llm.common import pick
 
 LONG = 1024                   # bytes of a piece
 AT_ONCE = 2_000_000           # rows that the steps of one recursive query may add up to
-CACHED = 30_000_000           # bytes of each cache of a worker
+CACHED = 90_000_000           # bytes of each cache of a worker
 
 # Rows know their right neighbour (npos, ntok), so a step needs no sorting: the
 # best pair of a word changes its left row, the row before it and no other.
