@@ -3,9 +3,8 @@
 Top-k per group uses ``row_number() <= k``: Spark plans a WindowGroupLimit
 below the shuffle, so even a hot group is cut to k rows per partition before
 it moves.  Full per-group numbering of possibly hot groups (chunks, ranks of
-long lists) uses ``group_row_number``: boundary rows cut a hot group into
-buckets by its rows' own values, and the counts of earlier buckets make the
-numbers exact.
+long lists) uses ``group_row_number``: range partitions cut a hot group into
+stretches, and the counts of earlier stretches make the numbers exact.
 """
 
 from __future__ import annotations
@@ -17,51 +16,22 @@ from pyspark.sql import functions as F
 
 from sourcinglens.session import cut_lineage
 
-BUCKETS_PER_PARTITION = 2      # of the numbering: pieces a long ordered list is cut into
-SAMPLE_PER_BUCKET = 20
-
-
-def _after(order: Sequence[str], row: Sequence) -> Column:
-    """Whether a row stands after ``row`` in ``order`` ("-name": descending).
-    Nulls come first in ascending and last in descending order."""
-    out = F.lit(False)
-    for name, value in reversed(list(zip(order, row, strict=True))):
-        col, down = F.col(name.removeprefix("-")), name.startswith("-")
-        if value is None:
-            beyond = F.lit(False) if down else col.isNotNull()
-        else:
-            beyond = F.coalesce(col < F.lit(value), F.lit(True)) if down else F.coalesce(col > F.lit(value), F.lit(False))
-        out = beyond | (col.eqNullSafe(F.lit(value)) & out)
-    return out
-
-
 def _sorted_by(order: Sequence[str]) -> list[Column]:
     return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
 
-def group_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
-                     seed: int = 13) -> DataFrame:
+def group_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
     """Exact 1-based row numbers per group of ``keys`` in ``order`` ("-name":
     descending; a total order inside each group), without one task per group.
 
-    A bounded sample of the sort keys gives boundary rows, which become
-    literals: a row's bucket depends on its own values only, so every
-    evaluation of the input agrees on it.  Rows are numbered inside their
-    (group, bucket); the counts of a group's earlier buckets, a small
-    aggregate, are added.  Any boundaries give the same numbers.
+    The rows are range-partitioned by keys and order and checkpointed once, so
+    a partition is a stretch of the ordered list and its number never changes
+    afterwards.  Rows are numbered inside their (group, partition); the counts
+    of a group's earlier partitions, a small aggregate, are added.  Any
+    boundaries give the same numbers.
     """
-    df = cut_lineage(df)                     # it is read four times below
-    columns = [*keys, *[o.removeprefix("-") for o in order]]
-    full = [*keys, *order]
-    wanted = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = df.select(*keys).count()
-    share = min(1.0, 2 * SAMPLE_PER_BUCKET * wanted / max(total, 1))
-    sample = df.select(*columns).sample(False, share, seed).orderBy(*_sorted_by(full)).limit(4 * SAMPLE_PER_BUCKET * wanted).collect()
-    bounds = sample[SAMPLE_PER_BUCKET::max(1, len(sample) // wanted)] if len(sample) > SAMPLE_PER_BUCKET else []
-    bucket = F.lit(0)
-    for row in bounds:
-        bucket = bucket + _after(full, row).cast("int")
-    numbered = df.withColumn("_bucket", bucket)
+    ranged = cut_lineage(df.repartitionByRange(*_sorted_by([*keys, *order])))
+    numbered = ranged.withColumn("_bucket", F.spark_partition_id())
     counts = numbered.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"),

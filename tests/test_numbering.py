@@ -29,3 +29,21 @@ def test_small_tables(spark):
     df = spark.createDataFrame([("a", 1), ("a", None), (None, 3)], "g string, v int")
     assert {(r.g, r.v, r.rn) for r in wn.group_row_number(df, ["g"], ["v"]).collect()} == {("a", None, 1), ("a", 1, 2), (None, 3, 1)}
     assert wn.group_row_number(df.limit(0), ["g"], ["v"]).count() == 0
+
+
+def test_many_shuffle_partitions(spark):
+    """The plan doesn't grow with the partitions; a hot group lies in many of them."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "500")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(20_000).select(F.when(F.col("id") % 4 > 0, "hot").alias("g"), F.pmod(F.xxhash64("id"), F.lit(97)).alias("v"), "id")
+        got = wn.group_row_number(df, ["g"], ["-v", "id"], "rn")
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert len(plan) < 10_000
+        want = F.row_number().over(Window.partitionBy("g").orderBy(F.col("v").desc(), "id"))
+        wrong = got.withColumn("want", want).agg(F.count("*"), F.count_if(F.col("rn") != F.col("want"))).first()
+        assert tuple(wrong) == (20_000, 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
