@@ -2,9 +2,10 @@
 
 Breadth-first, level by level, all sites at once: frontier joined with edges,
 minus visited (anti-join), ordered by (depth, parent order, link position).
-The budget counts *successful* pages per site; a site whose finished levels
-hold its budget is not walked further, and the walk ends when no site has a
-frontier.  Each new level is cut on the shared checkpoint folder.
+The budget counts *successful* pages per site.  The counts so far are a table
+of their own, one row per site; a site that has met its budget is not walked
+further, and the walk ends when no site has a frontier.  Each new level is cut
+on the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -35,11 +36,12 @@ def crawl_closure(edges: DataFrame, roots: DataFrame, ok: DataFrame, budget: int
         return cut_lineage(level.join(known, "page", "left").withColumn("success", F.coalesce("success", F.lit(False))))
 
     level = with_success(roots.select("site", "page", F.lit(0).alias("depth"), F.array(F.lit(0)).alias("order")))
-    levels = [level]
+    levels, reached = [level], None
     while not level.isEmpty():
+        now = level.where("success").groupBy("site").agg(F.count("*").alias("n"))
+        reached = cut_lineage(now if reached is None else reached.unionByName(now).groupBy("site").agg(F.sum("n").alias("n")))
         visited = functools.reduce(DataFrame.unionByName, levels)
-        met = visited.where("success").groupBy("site").count().where(F.col("count") >= budget)
-        nxt = (level.join(met, "site", "left_anti")
+        nxt = (level.join(reached.where(F.col("n") >= budget), "site", "left_anti")
                .select("site", F.col("page").alias("src"), F.col("order").alias("porder"))
                .join(edges.select("src", "dst", "pos"), "src")
                .select("site", F.col("dst").alias("page"), F.concat("porder", F.array("pos")).alias("order")))
@@ -48,10 +50,15 @@ def crawl_closure(edges: DataFrame, roots: DataFrame, ok: DataFrame, budget: int
         nxt = nxt.join(visited.select("site", "page"), ["site", "page"], "left_anti")
         level = with_success(nxt.select("site", "page", (F.size("order") - 1).alias("depth"), "order"))
         levels.append(level)
-    w = Window.partitionBy("site").orderBy("depth", "order").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("success").cast("int")).over(w), F.lit(0))
-    return functools.reduce(DataFrame.unionByName, levels).withColumn("_before", before).where(
-        F.col("_before") < budget).drop("_before")
+    walked = functools.reduce(DataFrame.unionByName, levels)
+    # the place of the success that meets the budget: a top-k per site, so a
+    # long last level is cut to ``budget`` rows per task before it moves
+    w = Window.partitionBy("site").orderBy("depth", "order")
+    first = walked.where("success").select("site", "depth", "order", F.row_number().over(w).alias("_n")).where(F.col("_n") <= budget)
+    last = first.groupBy("site").agg(F.count("*").alias("_n"), F.max(F.struct("depth", "order")).alias("_last"))
+    met = last.where(F.col("_n") == budget).select("site", "_last")
+    return walked.join(met, "site", "left").where(
+        F.col("_last").isNull() | (F.struct("depth", "order") <= F.col("_last"))).drop("_last")
 
 
 def site_emails(pages: DataFrame, closure: DataFrame, source: str = "site") -> DataFrame:

@@ -79,9 +79,11 @@ def suppliers_with_hits(longlist: DataFrame, hits: DataFrame, keys: Sequence[str
 
 
 def attach_candidates(suppliers: DataFrame, candidates: DataFrame, now=None) -> DataFrame:
-    """Append found website structs to ``companydataEnriched``."""
+    """Append found website structs to ``companydataEnriched``, in the
+    order of url and origin, each pair once."""
+    found = F.array_sort(F.collect_set(F.struct("url", "origin")))
     new = candidates.groupBy("_id").agg(
-        F.collect_list(make_website(F.col("url"), F.col("origin"), now)).alias("_new"))
+        F.transform(found, lambda c: make_website(c["url"], c["origin"], now)).alias("_new"))
     return (suppliers.join(new, "_id", "left")
             .withColumn("companydataEnriched",
                         F.concat(F.coalesce("companydataEnriched", F.array().cast("array<" + _website_ddl() + ">")),

@@ -135,6 +135,11 @@ def page_start(page: int, size: int = PAGE_SIZE) -> int:
     return 1 if page <= 1 else SECOND_PAGE_START + (page - 2) * size
 
 
+def last_position(size: int = PAGE_SIZE) -> int:
+    """The last result that the pager returns; a list may be cut after it."""
+    return page_start(max_result_pages(size) + 1, size) - 1
+
+
 def page_of_results(hits: DataFrame, pos: str = "pos", size: int = PAGE_SIZE) -> DataFrame:
     """Every (hit, page) pair the pager returns a hit on (pages overlap:
     page 1 holds 1..size, page k>1 holds 11+(k-2)*size .. 10+(k-1)*size)."""

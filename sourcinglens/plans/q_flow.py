@@ -3,7 +3,6 @@ text, per-request ranking (R2, J5, M4, M5, W3, P1) and code matching."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sourcinglens.functions import text as tx
@@ -31,6 +30,7 @@ from sourcinglens.plans import flows as pl  # noqa: E402
 from sourcinglens.plans.catalog import register  # noqa: E402
 from sourcinglens.plans.q_html import doc_lexicon, visible_sql  # noqa: E402
 from sourcinglens.plans.q_relational import search_hits  # noqa: E402
+from sourcinglens.session import cut_lineage  # noqa: E402
 from sourcinglens.sources import derived as dv  # noqa: E402
 from sourcinglens.sources.fixture_sql import token_rows_sql, tokenize_sql, with_ctes  # noqa: E402
 from sourcinglens.sources.tables import read_table  # noqa: E402
@@ -141,9 +141,16 @@ def p2_match_codes(spark, d):
     return out.select("request_id", "classification", "code", "label", F.round("score", 6).alias("score"), "rank")
 
 
-@register("W1_keep_matches", with_ctes(["industry_code", "requests", "stopword"], _P2))
+@register("W1_keep_matches", with_ctes(["industry_code", "requests", "stopword"], f""", {_SOFT},
+rk AS (SELECT *, row_number() OVER (PARTITION BY request_id, classification ORDER BY score DESC, code) AS rank FROM sc)
+SELECT request_id, classification, code, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
+FROM rk WHERE rank <= 5 AND (rank <= 2 OR score > 0.6)"""))
 def w1_keep_matches(spark, d):
-    return p2_match_codes(spark, d)
+    """The filter alone, over the scores of R5, with limits that all cut."""
+    reqs, codes = _code_inputs(spark, d)
+    s = pl.code_scores(reqs, codes.where(F.col("relevant") == 1), _term_sim(spark, d))
+    kept = wn.keep_matches(s, ["request_id", "classification"], min_similarity=0.6, min_codes=2, max_codes=5)
+    return kept.select("request_id", "classification", "code", F.round("score", 6).alias("score"), "rank")
 
 
 @register("J8_score_all", with_ctes(["industry_code", "requests", "stopword"], f""", {_SOFT}
@@ -167,16 +174,21 @@ def p1_identify_suppliers(spark, d):
 # --- crawl closure ------------------------------------------------------------
 
 def _crawl_inputs(spark, d):
+    """Pages are rendered with links: the r-th page of a site links to its
+    pages 2r and 2r + 1.  H3 finds the links; they name pages by url."""
     sp = dv.site_page(spark, d, with_html=False)
-    w = Window.partitionBy("site").orderBy("page_id")
-    ranked = sp.withColumn("r", F.row_number().over(w))
-    a = ranked.select("site", F.col("page_id").alias("src"), F.col("r").alias("ra"))
-    b = ranked.select("site", F.col("page_id").alias("dst"), F.col("r").alias("rb"))
-    edges = a.join(b, "site").where((F.col("rb") == 2 * F.col("ra")) | (F.col("rb") == 2 * F.col("ra") + 1)) \
-        .select("src", "dst", (F.col("rb") - 2 * F.col("ra")).cast("int").alias("pos"))
+    ranked = wn.group_row_number(sp, ["site"], ["page_id"], "r")
+    escaped = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    anchor = F.concat(F.lit('<a href="'), escaped, F.lit('">next</a>'))
+    below = ranked.where("r > 1").select("site", F.floor(F.col("r") / 2).alias("r"), F.struct(F.col("r").alias("at"), anchor.alias("a")).alias("link"))
+    nav = below.groupBy("site", "r").agg(F.sort_array(F.collect_list("link")).alias("links"))          # two at most
+    rendered = ranked.join(nav, ["site", "r"]).select(
+        "page_id", "url", F.concat(F.lit("<nav>"), F.array_join("links.a", " "), F.lit("</nav>")).alias("html"))
+    edges = hx.page_links(rendered).join(sp.select(F.col("page_id").alias("dst"), F.col("url").alias("link")), "link").select(
+        F.col("page_id").alias("src"), "dst", "pos")
     roots = ranked.where(F.col("r") == 1).select("site", F.col("page_id").alias("page"))
     ok = dv.page_status(spark, d).select(F.col("page_id").alias("page"), (F.col("status") == 200).alias("success"))
-    return edges, roots, ok
+    return cut_lineage(edges), roots, ok
 
 
 _CRAWL_SQL = with_ctes(["site_page", "page_status"], """,

@@ -331,10 +331,10 @@ pg AS (SELECT request_id, pos, link, 1 AS page FROM ranked WHERE pos <= 49
  WHERE pos >= 11 AND floor((pos - 11) / 49) + 2 <= 21)
 SELECT request_id, CAST(pos AS INTEGER) AS pos, link, page FROM pg"""))
 def w8_page_of_results(spark, d):
-    # result lists are bounded by the pager (at most 21 pages), so a plain
-    # per-list window is safe here
+    # nothing after the pager's last result is on a page, so each task cuts a
+    # list there before it moves
     ranked = search_hits(spark, d).withColumn(
-        "pos", F.row_number().over(Window.partitionBy("request_id").orderBy("pos")))
+        "pos", F.row_number().over(Window.partitionBy("request_id").orderBy("pos"))).where(F.col("pos") <= wn.last_position())
     return wn.page_of_results(ranked).select("request_id", F.col("pos").cast("int").alias("pos"), "link", "page")
 
 
