@@ -16,6 +16,7 @@ with text of a bounded sample of the given pages: their labels are known.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,19 +109,31 @@ def blocks_of(root: Node) -> list[Block]:
     return out
 
 
+class Family:
+    """What all children of a block share: taken once, not once per child."""
+    __slots__ = ("size", "alike", "longest", "paragraphs")
+
+    def __init__(self, members: list[Block]):
+        self.size = len(members)
+        self.alike = Counter(m.node.tag for m in members)
+        self.longest = max(m.chars for m in members)
+        self.paragraphs = sum(m.paragraphs for m in members)
+
+
 def features(blocks: list[Block]) -> np.ndarray:
     total = max(blocks[0].chars, 1)
     rows, seen = [], 0
+    families = {id(b): Family(b.children) for b in blocks if b.children}
+    alone = Family(blocks[:1])
     for b in blocks:
         tag = b.node.tag
-        mates = b.parent.children if b.parent else [b]
-        alike = sum(m.node.tag == tag for m in mates)
+        mates = families[id(b.parent)] if b.parent else alone
         around = (b.parent.chars if b.parent else b.chars) or 1
         rows.append([
             b.chars / total, np.log1p(b.chars), b.chars / b.tags, b.linked / max(b.chars, 1), b.links, b.tags, b.paragraphs,
-            b.marks / max(b.chars, 1), b.own / max(b.chars, 1), b.node.depth, len(b.children), b.place, len(mates),
-            alike / len(mates), b.chars / around, max((m.chars for m in mates), default=0) / around, seen / total,
-            sum(m.paragraphs for m in mates), b.fields, b.fields / (b.tags + b.fields), TAGS.index(tag) if tag in TAGS else -1,
+            b.marks / max(b.chars, 1), b.own / max(b.chars, 1), b.node.depth, len(b.children), b.place, mates.size,
+            mates.alike[tag] / mates.size, b.chars / around, mates.longest / around, seen / total,
+            mates.paragraphs, b.fields, b.fields / (b.tags + b.fields), TAGS.index(tag) if tag in TAGS else -1,
             TAGS.index(b.parent.node.tag) if b.parent and b.parent.node.tag in TAGS else -1,
             *(tag == t for t in TAGS), *(i in b.hints for i in range(len(HINTS))), *(i in b.above for i in range(len(HINTS)))])
         seen += b.own

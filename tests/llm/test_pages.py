@@ -1,4 +1,6 @@
 """Pages that real sites send and the rendered ones don't hold."""
+import time
+
 import numpy as np
 import pytest
 
@@ -26,6 +28,24 @@ def test_deep_pages(model, page, blocks):
     assert list(hx.extract(model, [page, "<p>x"]))[0] in ("", "deep text")
 
 
+@pytest.mark.parametrize("unit", ["<li>x y", "<font><div>x", "<div></b></p></x>", "<div><li>x", "<p><b>x", "<td>x<tr>"])
+def test_reading_is_linear_in_the_page(unit):
+    """Many siblings, unclosed and stray tags: four times the page in well under sixteen times the time."""
+    def seconds(n):
+        began = time.process_time()
+        hx.features(hx.blocks_of(parse(unit * n)))
+        return time.process_time() - began
+    seconds(1000)
+    assert seconds(20_000) < 10 * seconds(5_000) + 0.2
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<p class="lead>Hello world</p>', "Hello world"), ("<p title='x>Hello</p><p>world", "Hello\nworld"),
+    ('<p class="a"">text</p><p>more "q" </p>', 'text\nmore "q"'), ("<p title = 'x > y'>t</p>", "t"), ('<p>a</p><p class="x', "a")])
+def test_quotes_that_do_not_close(page, text):
+    assert visible(page) == text
+
+
 ARTICLE = "<h1>A headline of it</h1>" + "".join(f"<p>Sentence {i} of the story, told at length and with care, as it was.</p>" for i in range(6))
 STORY = "\n".join(["A headline of it"] + [f"Sentence {i} of the story, told at length and with care, as it was." for i in range(6)])
 MENU = '<nav class="menu"><ul><li><a href="/">Home</a><li><a href="/x">Prices</a><li><a href="/y">About</a></ul></nav>'
