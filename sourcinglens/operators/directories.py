@@ -117,8 +117,9 @@ def product_lines(pages: DataFrame, key: str = "url") -> DataFrame:
 
     Reading stops after the first page without a next button behind its page
     numbers, before a page that is missing, and after PRODUCT_PAGES pages.
-    Pages are reduced to their lines in the scan; only lines and one flag per
-    page, at most PRODUCT_PAGES of them, are gathered for a supplier.  A
+    Pages are dealt to tasks one by one and reduced there to their lines; only
+    lines and one flag per page, at most PRODUCT_PAGES of them, are gathered for
+    a supplier.  A
     supplier whose first page is missing has no row; an item without name and
     detail is an empty line.
     """
@@ -135,7 +136,10 @@ def product_lines(pages: DataFrame, key: str = "url") -> DataFrame:
 
     more = el.bound(pieces, lambda p: F.exists(el.ranges(p, lambda x: el.has_class(x, "page")), lambda r: F.coalesce(
         el.has_class(F.get(p, r["stop"] + 1), "prevnext"), F.lit(False))))
-    each = pages.where(F.col("page").between(1, PRODUCT_PAGES)).select(key, F.struct(
+    # Reading pages is work for many tasks even where they come from few megabytes.
+    spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pages.where(F.col("page").between(1, PRODUCT_PAGES)).repartition(spread, key, "page")
+    each = dealt.select(key, F.struct(
         "page", F.transform(items, line).alias("lines"), more.alias("more")).alias("p"))
     merged = each.groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("ps"))
     # Page k is reached if pages 1 to k - 1 are there and each of them has a next one.

@@ -19,7 +19,7 @@ VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 TAG = r"""(?s)^<(?:[^>"']|"[^"]*"|'[^']*')*>"""
 RANGES = "array<struct<start:int,stop:int>>"
-FOLD = f"struct<at:int,stack:array<string>,open:int,start:int,out:{RANGES}>"
+FOLD = f"struct<stack:array<string>,open:int,start:int,out:{RANGES}>"
 
 
 def pieces_of(html: Column) -> Column:
@@ -42,32 +42,40 @@ def is_tag(piece: Column, name: str) -> Column:
 
 def ranges(pieces: Column, test: Callable[[Column], Column]) -> Column:
     """Outermost elements whose start tag passes ``test``: numbers of the piece
-    with the start tag and of the piece after the last one inside."""
-    def token(p: Column) -> Column:
-        name = _name(p)
-        opens = ~p.startswith("</") & (name != "") & ~name.isin(*VOID) & ~p.rlike(r"^<[^>]*/>")
-        return F.struct(name.alias("name"), p.startswith("</").alias("closes"), opens.alias("opens"), test(p).alias("hit"))
+    with the start tag and of the piece after the last one inside.  ``pieces``
+    is read several times: pass a bound value."""
+    def token(p: Column, i: Column) -> Column:
+        def of(name: Column) -> Column:
+            opens = ~p.startswith("</") & (name != "") & ~name.isin(*VOID) & ~p.rlike(r"^<[^>]*/>")
+            return F.struct(i.alias("at"), name.alias("name"), p.startswith("</").alias("closes"), opens.alias("opens"))
+        return bound(_name(p), of)
 
     def step(s: Column, t: Column) -> Column:
         size = F.size(s["stack"])
-        back = F.array_position(F.reverse(s["stack"]), t["name"]).cast("int")             # 1: the innermost
-        closing = t["closes"] & (back > 0)
-        left = F.when(closing, size - back).otherwise(size)
-        ended = (s["open"] > 0) & (left < s["open"])
-        begins = t["opens"] & t["hit"] & (s["open"] == 0)
-        return F.struct(
-            (s["at"] + 1).alias("at"),
-            F.when(closing, F.slice(s["stack"], F.lit(1), size - back)).when(t["opens"], F.array_append(s["stack"], t["name"]))
-            .otherwise(s["stack"]).alias("stack"),
-            F.when(ended, F.lit(0)).when(begins, size + 1).otherwise(s["open"]).alias("open"),
-            F.when(begins, s["at"]).otherwise(s["start"]).alias("start"),
-            F.when(ended, F.array_append(s["out"], F.struct(s["start"].alias("start"), s["at"].alias("stop"))))
-            .otherwise(s["out"]).alias("out")).cast(FOLD)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("stack"), F.lit(0).alias("open"),
+
+        def on(back: Column) -> Column:                                                    # 1: the innermost
+            closing = back > 0
+            left = size - back
+            ended = (s["open"] > 0) & (left < s["open"])
+            begins = t["opens"] & t["hit"] & (s["open"] == 0)
+            return F.struct(
+                F.when(closing, F.slice(s["stack"], F.lit(1), left)).when(t["opens"], F.array_append(s["stack"], t["name"]))
+                .otherwise(s["stack"]).alias("stack"),
+                F.when(ended, F.lit(0)).when(begins, size + 1).otherwise(s["open"]).alias("open"),
+                F.when(begins, t["at"]).otherwise(s["start"]).alias("start"),
+                F.when(ended, F.array_append(s["out"], F.struct(s["start"].alias("start"), t["at"].alias("stop"))))
+                .otherwise(s["out"]).alias("out")).cast(FOLD)
+
+        return bound(F.when(t["closes"], F.array_position(F.reverse(s["stack"]), t["name"]).cast("int")).otherwise(F.lit(0)), on)
+
+    # Only pieces with a tag that opens or closes something take a step; only start tags are tested.
+    tags = F.filter(F.transform(pieces, token), lambda t: t["opens"] | t["closes"])
+    tested = F.transform(tags, lambda t: t.withField("hit", t["opens"] & test(F.get(pieces, t["at"]))))
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(0).alias("open"),
                      F.lit(0).alias("start"), F.array().cast(RANGES).alias("out")).cast(FOLD)
-    return F.aggregate(F.transform(pieces, token), start, step, lambda s: F.when(s["open"] > 0, F.array_append(
-        s["out"], F.struct(s["start"].alias("start"), s["at"].alias("stop")))).otherwise(s["out"]))
+    folded = lambda ts: F.aggregate(ts, start, step, lambda s: F.when(s["open"] > 0, F.array_append(
+        s["out"], F.struct(s["start"].alias("start"), F.size(pieces).alias("stop")))).otherwise(s["out"]))
+    return bound(tested, lambda ts: F.when(F.exists(ts, lambda t: t["hit"]), folded(ts)).otherwise(F.array().cast(RANGES)))
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
