@@ -33,7 +33,8 @@ from sourcinglens.llm.common import pick
 
 LONG = 1024                   # bytes of a piece
 AT_ONCE = 2_000_000           # rows that the steps of one recursive query may add up to
-CACHED = 90_000_000           # bytes of each cache of a worker
+CACHED = 160_000_000          # bytes of each cache of a worker
+TOGETHER = 4_000_000          # characters of text whose new pieces share their queries: each query has a fixed cost
 
 # Rows know their right neighbour (npos, ntok), so a step needs no sorting: the
 # best pair of a word changes its left row, the row before it and no other.
@@ -152,13 +153,15 @@ class Bpe:
                 size = 0
             groups[-1].append(p)
             size += len(p) * (len(p) + 1) // 2 + len(p)
-        if ready:
-            ids = [[self.ranks[p]] if p in self.ranks else self._heap(p) for p in ready]
-            rows = [(w, pos, tok) for w, i in enumerate(ids) for pos, tok in enumerate(i)]
-            table = pa.table(dict(zip(("w", "pos", "tok"), np.array(rows, np.int32).T, strict=True)))
-            found.update(zip(ready, self.decode(table), strict=True))
-        for g in filter(None, groups):
-            found.update(zip(g, self.decode(self._contract(g)), strict=True))
+        for g in groups:
+            tables = [self._contract(g).select(["w", "pos", "tok"])] if g else []
+            if ready:                                                           # decoded with the first group
+                ids = [[self.ranks[p]] if p in self.ranks else self._heap(p) for p in ready]
+                rows = [(w, pos, tok) for w, i in enumerate(ids, len(g)) for pos, tok in enumerate(i)]
+                tables.append(pa.table(dict(zip(("w", "pos", "tok"), np.array(rows, np.int32).T, strict=True))))
+            if tables:
+                found.update(zip(g + ready, self.decode(pa.concat_tables(tables)), strict=True))
+            ready = []
         return [found[p] for p in pieces]
 
     def _chunks(self, chunks: list[str]) -> list[tuple[str, bytes]]:
@@ -169,7 +172,7 @@ class Bpe:
 
     def documents(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """Of each text: number of ids, ids joined by commas, decoded bytes."""
-        for got in self.cache.answers(texts):
+        for got in self.cache.answers(texts, TOGETHER):
             ids = "".join([g[0] for g in got])
             yield ids.count(","), ids[1:], b"".join([g[1] for g in got])
 
