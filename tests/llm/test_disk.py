@@ -1,8 +1,9 @@
-"""What op10 leaves on disk, and moves."""
+"""What op10 and the pipeline's near-duplicate stage leave on disk, and move."""
 
 import random
 import time
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from sourcinglens.llm import ngram_join
@@ -39,6 +40,17 @@ def test_a_cut_leaves_no_shuffle_files(spark):
     assert cut.count() == rows.count() == 1000          # neither needs them
 
 
+def test_the_near_duplicate_stage_leaves_only_the_files_of_its_result(spark):
+    docs = cut_lineage(spark.createDataFrame(list(enumerate(texts(300))), "doc_id long, text string"))
+    before = shuffle_files(spark)
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    # Sums of a row (do links still change) stay until the driver collects them.
+    sizes = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    big = [s for s in left_over(spark, before) if s.endswith(".data") and sizes.getFile(s).length() > 500]
+    assert not big
+    assert kept.count() == 300
+
+
 def test_postings_name_their_class_by_number(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(ngram_join, "cut", lambda df, f=ngram_join.cut: seen.append(df.schema) or f(df))
